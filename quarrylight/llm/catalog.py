@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import termcounts, weighting
+from quarrylight.llm import mixing, packing, termcounts, weighting
+from quarrylight.llm.tokens import token_counter
+from quarrylight.storage import written
 from quarrylight.tables import table
 
 
@@ -28,11 +30,52 @@ def p5_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termcounts.marked_terms(table(spark, sf_dir, "postings"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the largest containers hold only in pieces."""
+    sizes = table(spark, sf_dir, "pack_sizes")
+    largest = sizes.join(sizes.agg(F.max("capacity").alias("capacity")), "capacity")
+    packed = packing.pack(packing.token_sizes(table(spark, sf_dir, "documents")), largest)
+    return packed.where("piece_no = 1 and container is not null").select("doc_id").distinct()
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    count = token_counter(spark)
+    sized = written(documents.select("doc_id", "source", count(F.col("text")).alias("tokens")), "mix-sizes")
+    return mixing.mix(sized, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1].where("short").select("source")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_residual": p4_residual,
     "p5_found": p5_found,
     "p5_term_counts": p5_term_counts,
+    "p7_found": p7_found,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
 }
 
 _COUNTED = """counted as (select distinct shard_no, run_no, rec_no, lower(regexp_replace(term, '[^A-Za-z0-9]', '', 'g')) as term, doc_id, freq
