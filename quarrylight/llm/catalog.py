@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import mixing, packing, termcounts, weighting
+from quarrylight.llm import encoding, mixing, packing, termcounts, weighting
 from quarrylight.llm.tokens import token_counter
 from quarrylight.storage import written
 from quarrylight.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.repair_encoding(table(spark, sf_dir, "collection")).where("garbled").select("line_no")
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.repair_encoding(table(spark, sf_dir, "collection")).where("layers > 0").select("line_no", "restored", "layers")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = weighting.term_weights(table(spark, sf_dir, "postings"), table(spark, sf_dir, "doc_stats"))
     return weighting.top_terms(weights).select("doc_id", "term")
@@ -66,6 +74,8 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p4_found": p4_found,
     "p4_residual": p4_residual,
     "p5_found": p5_found,
