@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import encoding, mixing, packing, termcounts, weighting
+from quarrylight.llm import encoding, mixing, nearcopies, packing, termcounts, weighting
 from quarrylight.llm.tokens import token_counter
 from quarrylight.storage import written
 from quarrylight.tables import table
@@ -19,6 +19,14 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repair_encoding(table(spark, sf_dir, "collection")).where("layers > 0").select("line_no", "restored", "layers")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.alike_pairs(*nearcopies.alike(table(spark, sf_dir, "collection"), run=3, similarity=0.5))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.groups(*nearcopies.alike(table(spark, sf_dir, "collection"), run=3, similarity=0.5))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = weighting.term_weights(table(spark, sf_dir, "postings"), table(spark, sf_dir, "doc_stats"))
     return weighting.top_terms(weights).select("doc_id", "term")
@@ -76,6 +84,8 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_residual": p4_residual,
     "p5_found": p5_found,
@@ -103,7 +113,15 @@ _TERMS = f"""{_COUNTED},
   t as (select term, sum(freq)::bigint as occurrences, count(distinct doc_id) as records from counted group by all),
   m as (select term, occurrences, records, case when records < 3 then 'rare' when records > 0.25 * n then 'common' end as mark from t, n)"""
 
+_ALIKE = """words as (select line_no, list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: lower(regexp_replace(x, '[^A-Za-z0-9]', '', 'g'))), lambda x: x <> '') as w
+      from collection where text is not null),
+  runs as (select distinct line_no, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as r from words where len(w) >= 3),
+  n as (select line_no, count(*) as n from runs group by all),
+  common as (select a.line_no as line_a, b.line_no as line_b, count(*) as c from runs a join runs b on a.r = b.r and a.line_no < b.line_no group by all),
+  pairs as (select line_a, line_b from common join n x on x.line_no = line_a join n y on y.line_no = line_b where 2 * c >= x.n + y.n - c)"""
+
 SQL = {
+    "p3_found": f"with {_ALIKE} select line_a, line_b from pairs",
     "p4_found": f"with {_WEIGHTS} select doc_id, term from w qualify row_number() over (partition by doc_id order by weight desc, term) = 1",
     "p4_residual": f"with {_WEIGHTS} select doc_id, term, round(residual, 6) as residual from w qualify row_number() over (partition by doc_id order by residual desc, term) = 1",
     "p5_found": f"with {_TERMS} select term from m where mark is not null",
