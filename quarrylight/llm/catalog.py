@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import encoding, mixing, nearcopies, packing, termcounts, weighting
+from quarrylight.llm import encoding, mixing, nearcopies, packing, prose, termcounts, weighting
 from quarrylight.llm.tokens import token_counter
 from quarrylight.storage import written
 from quarrylight.tables import table
@@ -81,6 +81,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_statistics(spark, sf_dir).where("not is_prose").select("doc_id")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
@@ -96,6 +104,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_statistics": p9_statistics,
 }
 
 _COUNTED = """counted as (select distinct shard_no, run_no, rec_no, lower(regexp_replace(term, '[^A-Za-z0-9]', '', 'g')) as term, doc_id, freq
