@@ -25,7 +25,7 @@ def terms(text: Column) -> Column:
 
 def vb_len(n: Column) -> Column:
     """Bytes of a non-negative integer in groups of seven bits."""
-    out = F.lit(10)
-    for groups in range(9, 0, -1):
+    out = F.lit(9)
+    for groups in range(8, 0, -1):
         out = F.when(n < F.lit(1 << (7 * groups)), groups).otherwise(out)
     return out.cast("bigint")
