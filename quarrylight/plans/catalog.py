@@ -22,7 +22,7 @@ SQL: dict[str, str] = {}
 SINGLE, SOME, BOTH, MISSING = ["the"], ["the", "otter", "on"], ["the", "of"], ["the", "zzzunknown"]
 WORDS = ["harbour", "otter", "the"]
 _RARE = ["harbour", "otter"]
-MAX_DOCS, TARGET = 500, 700
+MAX_DOCS, TARGET = 500, 50
 
 _indexes: dict[tuple[str, str], Index] = {}
 
