@@ -17,12 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions import varbyte
 from quarrylight.storage import written
 
 #: Words in a run and least similarity.
 RUN, SIMILARITY = 5, 0.8
-#: Bits of a sketch; slots of the table of approximate run counts, 4 bytes each, that is broadcast; rows of a tile.
-BITS, SLOTS, TILE = 256, 1 << 22, 2048
+#: Bits of a sketch; slots of the table of approximate run counts, a byte each, that is broadcast; rows of a tile.
+BITS, SLOTS, TILE = 256, 1 << 25, 2048
+#: Ids, 16 MB of them, up to which a set of ids is broadcast to pick rows; beyond it they are joined by a shuffle.
+MOST_IDS = 1 << 21
 #: Buckets up to this size are compared by shifts of the whole batch, larger ones in tiles of SUBTILE rows.
 SMALL, SUBTILE = 32, 256
 _DROP = re.compile(r"[^A-Za-z0-9 \t\n\x0B\f\r]+")
@@ -79,7 +82,7 @@ def _survey(run: int, slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if not batch.num_rows:
                 continue
             rows, hashes = run_sets(batch.column(1).to_pylist(), run)
-            counts += np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots).astype(np.int32) if len(rows) else 0
+            np.add.at(counts, (hashes >> np.uint64(20)).astype(np.int64) & (slots - 1), 1)
             n = np.bincount(rows, minlength=batch.num_rows)
             sets = []
             for salt in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165):
@@ -92,20 +95,45 @@ def _survey(run: int, slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for lo in range(0, slots, _CHUNK):
             part = counts[lo : lo + _CHUNK]
             if part.any():
+                at = np.flatnonzero(part)
+                packed = varbyte.encode(np.stack([np.diff(at, prepend=0), part[at]], axis=1).ravel())[0]
                 empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([lo // _CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([lo // _CHUNK], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=names)
 
     return work
 
 
+def _scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: up to 15 as they are, above in steps of an eighth of a doubling, never less than the count."""
+    steps = np.ceil(8 * np.log2(np.maximum(counts, 16) / 16)).astype(np.int64)
+    return np.where(counts < 16, counts, np.minimum(16 + steps, 255)).astype(np.uint8)
+
+
+#: The greatest count that a byte stands for.
+_COUNT = np.concatenate([np.arange(16), np.ceil(16 * 2.0 ** (np.arange(240) / 8))]).astype(np.int64)
+
+
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new = np.frombuffer(part, dtype=np.int32).astype(np.int64)
-            sums[chunk] = sums[chunk] + new if chunk in sums else new
+        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            pairs = varbyte.decode(np.frombuffer(packed, dtype=np.uint8)).reshape(-1, 2)
+            total = sums.setdefault(chunk, np.zeros(_CHUNK, dtype=np.int64))
+            total[np.cumsum(pairs[:, 0])] += pairs[:, 1]
     for chunk, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_scaled(total).tobytes()], pa.binary())], names=["chunk", "counts"])
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """An array of binary values of one length from a table of bytes."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _words(values: pa.Array) -> np.ndarray:
+    """The inverse, as 64-bit words."""
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64).reshape(-1, BITS // 64)
 
 
 _KEYS = "key bigint, tile_a int, tile_b int, side int, id bigint, n int, bits binary"
@@ -116,7 +144,7 @@ def _emit(run: int, t: float, slots: int, table, tile: int) -> Callable[[Iterato
     text's id, and the row is repeated for each pair of tiles its own is in."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(table.value, dtype=np.int32)
+        counts = np.frombuffer(table.value, dtype=np.uint8)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -128,7 +156,7 @@ def _emit(run: int, t: float, slots: int, table, tile: int) -> Callable[[Iterato
             bit = (hashes & np.uint64(BITS - 1)).astype(np.int64)
             flips = np.bincount(rows * BITS + bit, minlength=batch.num_rows * BITS) & 1
             bits = np.packbits(flips.astype(np.uint8).reshape(-1, BITS), axis=1)
-            often = counts[(hashes >> np.uint64(20)).astype(np.int64) & (slots - 1)]
+            often = _COUNT[counts[(hashes >> np.uint64(20)).astype(np.int64) & (slots - 1)]]
             order = np.lexsort((hashes, often, rows))
             rows, hashes, often = rows[order], hashes[order], often[order]
             start = np.concatenate(([0], np.cumsum(n)[:-1]))
@@ -152,7 +180,7 @@ def _emit(run: int, t: float, slots: int, table, tile: int) -> Callable[[Iterato
                         pa.array((m != a).astype(np.int32)),
                         pa.array(ids[r]),
                         pa.array(n[r].astype(np.int32)),
-                        pa.array([bits[i].tobytes() for i in r], pa.binary()),
+                        _binary(bits[r]),
                     ],
                     names=["key", "tile_a", "tile_b", "side", "id", "n", "bits"],
                 )
@@ -238,7 +266,7 @@ def _compare(t: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 continue
             c = [batch.column(i) for i in range(7)]
             key = np.stack([c[0].to_numpy(), c[1].to_numpy().astype(np.int64), c[2].to_numpy().astype(np.int64)], axis=1)
-            words = np.frombuffer(b"".join(c[6].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+            words = _words(c[6])
             cols = [key, c[3].to_numpy(), key[:, 1] != key[:, 2], c[4].to_numpy(), c[5].to_numpy().astype(np.int64), words]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
@@ -273,6 +301,10 @@ def _verify(run: int, t: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return work
 
 
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+
+
 def alike(rows: DataFrame, key: str = "line_no", text: str = "text", run: int = RUN, similarity: float = SIMILARITY, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """Two tables: members (id, class_id) and links (a, b, similarity) between the classes.
 
@@ -294,17 +326,20 @@ def alike(rows: DataFrame, key: str = "line_no", text: str = "text", run: int =
     members = written(by_hot.select("id", "class_id").unionByName(by_rest.select("id", "class_id")).distinct(), "members")
 
     chunks = survey.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(_sum_counts, "chunk int, counts binary")
-    table = np.zeros(slots, dtype=np.int32)
-    for r in chunks.collect():  # one row per chunk of the table, whose size is fixed
-        part = np.frombuffer(r["counts"], dtype=np.int32)
+    table = np.zeros(slots, dtype=np.uint8)
+    for r in chunks.toLocalIterator():  # one row per chunk of the table, whose size is fixed
+        part = np.frombuffer(r["counts"], dtype=np.uint8)[: slots - r["chunk"] * _CHUNK]
         table[r["chunk"] * _CHUNK : r["chunk"] * _CHUNK + len(part)] = part
     counts = spark.sparkContext.broadcast(table.tobytes())
 
-    heads = source.join(members.where("id = class_id").select("id"), "id", "left_semi")
+    copies = members.where("id <> class_id").select("id")
+    heads = source.join(F.broadcast(copies), "id", "left_anti") if _few(copies) else source.join(members.where("id = class_id").select("id"), "id", "left_semi")
     keys = heads.mapInArrow(_emit(run, similarity, slots, counts, TILE), _KEYS)
     order = ["key", "tile_a", "tile_b"]
-    near = keys.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(similarity), "a bigint, b bigint").distinct()
-    texts = lambda name: source.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
+    near = written(keys.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(similarity), "a bigint, b bigint").distinct(), "near")
+    asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = source.join(F.broadcast(asked), "id", "left_semi") if _few(asked) else source
+    texts = lambda name: some.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
     links = near.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "text_a", "text_b")
     links = links.mapInArrow(_verify(run, similarity), "a bigint, b bigint, similarity double")
     return members, written(links.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
