@@ -21,6 +21,8 @@ DROP, LEFT = 0.25, 0.9
 
 _LETTERS = set("àâæçéèêëîïôœùûüÿäöüßáíóúñãõąćęłńóśźżάέήίόύώϊϋΐΰς") | {chr(c) for c in range(0x3B1, 0x3CA)} | {chr(c) for c in range(0x430, 0x450)} | {"ё"}
 _OPEN, _CLOSE, _DASH, _QUIET = set("“‘«¿¡„"), set("”»"), set("–—"), set("…•·™©®º°ª")
+#: Letters that are seldom in their language, to choose between readings in one script.
+_SELDOM = set("ΰΐϋϊψξζъэфюцщжшчёЂѓєѕіїјљњћќўџґ")
 _TEXT_MARKS = set("“”‘’„–—…€¿¡«»")
 #: What is left of an apostrophe or quotation mark whose control characters were lost, in an otherwise ASCII word.
 _STUMP = re.compile(r"[a-z]â(?:s|t|re|ve|ll|d|m)\b|(?<!\w)â[a-z]{2,}|(?<!\w)[a-z]{2,}â(?!\w)")
@@ -174,35 +176,36 @@ def _reread(token: str, read_as: str, written_in: str) -> str:
 
 
 def _layer(text: str) -> tuple[str, float] | None:
-    """The text with one layer taken off and its cost, by the pair of encodings whose cost is least; None if none helps."""
+    """The text with one layer taken off and its cost, by the pair of encodings whose cost is least; None if none helps.
+
+    A pair is tried on the tokens whose own cost it lowers, and on all that it can decode: short words often cost nothing
+    either way. Of results that cost the same, that with fewer capitals and seldom letters is taken.
+    """
     tokens = _tokens(text)
     odd = [i for i, t in enumerate(tokens) if not t.isascii()]
-    best: tuple[float, str] | None = None
+    best: tuple[float, float, str] | None = None
     cost = garbling_cost(text)[1]
     for written_in in WRITTEN_IN:
         for read_as in READ_AS:
             if read_as == written_in:
                 continue
-            new, better, same = tokens.copy(), 0, []
+            some, every, better = tokens.copy(), tokens.copy(), 0
             for i in odd:
                 other = _reread(tokens[i], read_as, written_in)
                 if other == tokens[i] or written_in != "utf-8" and not _stays_text(tokens[i], other):
                     continue
-                was, now = sum(_cost(tokens[i])), sum(_cost(other))
-                if now < was:
-                    new[i], better = other, better + 1
-                elif now == was:
-                    same.append((i, other))
-            if not better or better == 1 and written_in != "utf-8" and _only_names(tokens, new):
+                every[i] = other
+                if sum(_cost(other)) < sum(_cost(tokens[i])):
+                    some[i], better = other, better + 1
+            if not better or better == 1 and written_in != "utf-8" and _only_names(tokens, some):
                 continue
-            if better > len(same):  # most of the text was read this way, then all of it was
-                for i, other in same:
-                    new[i] = other
-            joined = "".join(new)
-            now = garbling_cost(joined)[1]
-            if now <= cost - DROP and (best is None or now < best[0] - 1e-9):
-                best = now, joined
-    return None if best is None else (best[1], best[0])
+            for new in (every, some):
+                joined = "".join(new)
+                now = garbling_cost(joined)[1]
+                key = now + 0.01 * sum(c in _SELDOM or c.isupper() and not c.isascii() for c in joined)
+                if now <= cost - DROP and (best is None or key < best[0] - 1e-9):
+                    best = key, now, joined
+    return None if best is None else (best[2], best[1])
 
 
 def _only_names(old: list[str], new: list[str]) -> bool:
