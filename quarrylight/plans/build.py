@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarrylight.functions.analysis import terms
 from quarrylight.functions.scoring import Statistics
 from quarrylight.operators import index
+from quarrylight.storage import written
+from quarrylight.tables import spread
 
 _PARTS = {"postings": ["term", "doc_id", "tf", "dl"], "lexicon": ["term", "start_slot", "end_slot", "first_block", "num_blocks", "ft"], "passages": ["doc_id", "text"], "stats": ["n_docs", "total_len", "avgdl"]}
 
@@ -31,16 +33,19 @@ def build_index(spark: SparkSession, docs: DataFrame, path: str, block: int = in
     are range-partitioned and sorted by term, so a query reads only the row groups of its terms. Documents given twice add
     up; a null text has no terms.
     """
-    analysed = docs.select("doc_id", terms(F.col("text")).alias("terms"))
-    exploded = analysed.select("doc_id", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
-    # one shuffle, by the order in which the postings are stored; the count keeps its partitioning
-    ranged = exploded.repartitionByRange("term", "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).sortWithinPartitions("term", "doc_id")
-    ranged.write.mode("overwrite").parquet(f"{path}/postings")
+    docs = spread(docs)
+    # the length is a column before the terms are exploded: beside the explode it would be computed for every token
+    sized = docs.select("doc_id", terms(F.col("text")).alias("terms")).select("doc_id", F.size("terms").cast("bigint").alias("dl"), "terms")
+    exploded = sized.select("doc_id", "dl", F.explode("terms").alias("term"))
+    # texts are analysed once; sampling for the ranges then reads the counts
+    counted = written(exploded.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")), "counted")
+    counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
-    index.lexicon(stored, block).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+    index.lexicon(stored, block).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
     docs.select(*_PARTS["passages"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/passages")
-    lengths = analysed.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).cast("bigint").alias("total_len"))
-    lengths.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(0.0)).write.mode("overwrite").parquet(f"{path}/stats")
+    n = docs.select("doc_id").count()
+    totals = stored.agg(F.lit(n).cast("bigint").alias("n_docs"), F.coalesce(F.sum("tf"), F.lit(0)).cast("bigint").alias("total_len"))
+    totals.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(0.0)).write.mode("overwrite").parquet(f"{path}/stats")
     return open_index(spark, path)
 
 

@@ -14,7 +14,7 @@ from quarrylight.plans.build import Index, build_index
 from quarrylight.plans.search import with_snippets
 from quarrylight.sources import collection
 from quarrylight.storage import shared_dir, written
-from quarrylight.tables import table
+from quarrylight.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,7 +37,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Index:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
