@@ -59,10 +59,22 @@ def windows(docs: DataFrame, words: list[str], windowsz: int = 50) -> DataFrame:
     """
     half = windowsz // 2
     all_tokens = tokens(with_any_word(docs, words))
-    around = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(-half, half)
-    counts = [F.sum((F.col("norm") == w).cast("bigint")).over(around).alias(f"n{i}") for i, w in enumerate(words)]
-    ends = [F.first("tok_idx").over(around).alias("tok_l"), F.last("tok_idx").over(around).alias("tok_r"), F.first("byte_start").over(around).alias("byte_l"), F.first("char_start").over(around).alias("char_l"), F.last("char_end").over(around).alias("char_r")]
-    framed = all_tokens.select("doc_id", F.col("tok_idx").alias("match_tok"), "norm", *ends, *counts).where(F.col("norm").isin(words))
+    ordered, whole = Window.partitionBy("doc_id").orderBy("tok_idx"), Window.partitionBy("doc_id")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    # running counts, so that a window's count is a difference of two rows and no frame is added up again for each token
+    runs = [F.sum((F.col("norm") == w).cast("bigint")).over(upto).alias(f"c{i}") for i, w in enumerate(words)]
+    counted = all_tokens.select("*", *runs)
+
+    def before(column: str) -> Column:
+        return F.lag(column, half).over(ordered)
+
+    def after(column: str) -> Column:
+        return F.coalesce(F.lead(column, half).over(ordered), F.max(column).over(whole))
+
+    edges = [F.greatest(F.col("tok_idx") - half, F.lit(0)).alias("tok_l"), after("tok_idx").alias("tok_r"), F.coalesce(before("byte_start"), F.min("byte_start").over(whole)).alias("byte_l"), F.coalesce(before("char_start"), F.min("char_start").over(whole)).alias("char_l"), after("char_end").alias("char_r")]
+    outside = [F.coalesce(F.lag(f"c{i}", half + 1).over(ordered), F.lit(0)) for i in range(len(words))]
+    counts = [(after(f"c{i}") - outside[i]).alias(f"n{i}") for i in range(len(words))]
+    framed = counted.select("doc_id", F.col("tok_idx").alias("match_tok"), "norm", *edges, *counts).where(F.col("norm").isin(words))
     zero = F.lit(0).cast("bigint")
     uniq, total = zero, zero
     for i in range(len(words)):

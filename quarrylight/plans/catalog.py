@@ -228,7 +228,8 @@ def block_skip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selfcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The invariants of the index of all terms; a sound index has none violated."""
     gaps = written(index.posting_gaps(stored_index(spark, sf_dir).postings), "gaps")
-    return index.selfcheck(gaps, stored_index(spark, sf_dir).lexicon, index.blocks(gaps), index.decoded_blocks(index.encoded_blocks(gaps)))
+    held, decoded = written(index.blocks(gaps), "blocks"), written(index.decoded_blocks(index.encoded_blocks(gaps)), "decoded")
+    return index.selfcheck(gaps, stored_index(spark, sf_dir).lexicon, held, decoded)
 
 
 @query(f"with {_GAPS}, b as (select sum((block_no = 0)::int)::bigint as n_terms, sum(n)::bigint as n_postings, count(*) as n_blocks, sum(docid_bytes)::bigint as docid_bytes, sum(freq_bytes)::bigint as freq_bytes from blocks) select (select count(*) from documents) as n_docs, b.*, (select sum(strlen(text))::bigint from documents) as text_bytes from b")
