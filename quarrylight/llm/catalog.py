@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from quarrylight.llm import encoding, mixing, nearcopies, packing, prose, termcounts, weighting
 from quarrylight.llm.tokens import token_counter
 from quarrylight.storage import written
-from quarrylight.tables import table
+from quarrylight.tables import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.repair_encoding(table(spark, sf_dir, "collection")).where("garbled").select("line_no")
+    return encoding.repair_encoding(spread(table(spark, sf_dir, "collection").select("line_no", "text"))).where("garbled").select("line_no")
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.repair_encoding(table(spark, sf_dir, "collection")).where("layers > 0").select("line_no", "restored", "layers")
+    return encoding.repair_encoding(spread(table(spark, sf_dir, "collection").select("line_no", "text"))).where("layers > 0").select("line_no", "restored", "layers")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,14 +47,14 @@ def p5_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
+    return packing.pack(packing.token_sizes(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), table(spark, sf_dir, "pack_sizes"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the largest containers hold only in pieces."""
     sizes = table(spark, sf_dir, "pack_sizes")
     largest = sizes.join(sizes.agg(F.max("capacity").alias("capacity")), "capacity")
-    packed = packing.pack(packing.token_sizes(table(spark, sf_dir, "documents")), largest)
+    packed = packing.pack(packing.token_sizes(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), largest)
     return packed.where("piece_no = 1 and container is not null").select("doc_id").distinct()
 
 
@@ -63,7 +63,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     count = token_counter(spark)
     sized = written(documents.select("doc_id", "source", count(F.col("text")).alias("tokens")), "mix-sizes")
     return mixing.mix(sized, table(spark, sf_dir, "mix_targets"))
@@ -86,7 +86,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return prose.text_statistics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "common_words"))
 
 
 QUERIES = {
