@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import varbyte
 from quarrylight.functions.analysis import terms, vb_len
-from quarrylight.operators.prefix import running_total
+from quarrylight.operators.prefix import ranked_within, running_total
 
 #: Postings of a block.
 BLOCK = 128
@@ -54,12 +54,13 @@ def lexicon(post: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def posting_gaps(post: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(term, doc_id, tf, block_no, gap): the difference to the document before in the block; the first is absolute."""
-    ordered = Window.partitionBy("term").orderBy("doc_id")
-    numbered = post.withColumn("block_no", F.floor((F.row_number().over(ordered) - 1) / block).cast("bigint")).withColumn("before", F.lag("doc_id").over(ordered)).withColumn("block_before", F.lag("block_no").over(ordered))
-    same = F.col("block_before") == F.col("block_no")
-    gap = F.col("doc_id") - F.when(same, F.col("before")).otherwise(F.lit(0))
-    return numbered.select("term", "doc_id", "tf", "block_no", _long(gap).alias("gap"))
+    """(term, doc_id, tf, block_no, gap): the difference to the document before in the block; the first is absolute.
+
+    A term of any length is numbered in several tasks.
+    """
+    ranked = ranked_within(post.select("term", "doc_id", "tf"), "term", "doc_id")
+    gap = F.col("doc_id") - F.when(F.col("rank") % block == 0, 0).otherwise(F.col("before"))
+    return ranked.select("term", "doc_id", "tf", F.floor(F.col("rank") / block).cast("bigint").alias("block_no"), _long(gap).alias("gap"))
 
 
 def blocks(gaps: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarrylight.functions.scoring import K1, B, Statistics, contribution
 
 OR, AND = "or", "and"
+#: Rows of query terms up to which they are broadcast, and the parts of a hot term beyond it.
+MOST_ASKED, SALTS = 1 << 18, 64
 
 
 def _multiplicity(terms: list[str]) -> Column:
@@ -71,7 +73,16 @@ def rank_batch(post: DataFrame, lexicon: DataFrame, queries: DataFrame, stats: S
     bag = asked.groupBy("query_id", "conjunctive", "k", "term").agg(F.count("*").alias("times"))
     asked_for = queries.select("query_id", F.size(F.array_distinct("terms")).alias("distinct_terms"))
     known = bag.join(lexicon.select("term", "ft"), "term")
-    hits = post.select("term", "doc_id", "tf", *([stats.length] if stats.length else [])).join(known, "term")
+    rows = post.select("term", "doc_id", "tf", *([stats.length] if stats.length else []))
+    if known.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        hits = rows.join(F.broadcast(known), "term")
+    else:  # a term with a thousandth of all postings is hot; under a thousand are, and their query rows are repeated by salt
+        hot = lexicon.where(F.col("ft") * 1000 > post.count()).select("term")
+        often, seldom = (known.join(F.broadcast(hot), "term", how) for how in ("left_semi", "left_anti"))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = rows.join(F.broadcast(hot), "term", "left_semi").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        by_hot = salted.join(often.withColumn("salt", salts), ["term", "salt"]).drop("salt")
+        hits = by_hot.unionByName(rows.join(F.broadcast(hot), "term", "left_anti").join(seldom, "term"))
     part = contribution(F.col("tf"), F.col("ft"), stats, k1, b) * F.col("times")
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("k").alias("k"), F.first("conjunctive").alias("conjunctive"))
     kept = scored.join(asked_for, "query_id").where(~F.col("conjunctive") | (F.col("matched") == F.col("distinct_terms")))

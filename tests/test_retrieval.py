@@ -22,7 +22,7 @@ from quarrylight.functions import varbyte
 from quarrylight.functions.analysis import clean_term, terms, vb_len
 from quarrylight.functions.scoring import FALLBACK, K1, Statistics
 from quarrylight.operators import index, rank, snippets
-from quarrylight.operators.prefix import running_total
+from quarrylight.operators.prefix import ranked_within, running_total
 from quarrylight.plans.build import build_index, open_index
 from quarrylight.plans.search import SearchRequest, hits, search
 from quarrylight.sources import collection
@@ -104,7 +104,9 @@ def test_bm25_parameters_and_ties(stored):
     assert struct.unpack("f", struct.pack("f", 1.2))[0] == K1
 
 
-def test_batch_equals_single(spark, stored):
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_batch_equals_single(spark, stored, monkeypatch, most):
+    monkeypatch.setattr(rank, "MOST_ASKED", most)
     asked = [(1, ["the", "of"], 10, False), (2, ["the", "of"], 2, True), (3, ["the", "the"], 10, None), (4, ["zzz"], 5, False), (5, [], 5, False), (6, None, 5, True), (7, ["the"], 0, False), (8, ["the", "zzz"], 5, True), (9, ["the"], None, False)]
     queries = spark.createDataFrame(asked, "query_id bigint, terms array<string>, k int, conjunctive boolean")
     found = rank.rank_batch(stored.postings, stored.lexicon, queries, stored.stats).collect()
@@ -151,6 +153,23 @@ def test_running_total(spark):
     assert running_total(df.limit(0), ["id"], before=F.col("v")).count() == 0
 
 
+def test_ranks_of_a_hot_key(spark):
+    """Two keys over many partitions: ranks and the rows before go on across the cuts."""
+    data = [("hot", 3 * i) for i in range(5000)] + [("a", 7), ("z", 1), ("z", 2)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = ranked_within(spark.createDataFrame(data, "k string, v bigint").repartition(9), "k", "v").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, last = {}, {}
+    for k, v in sorted(data):
+        n, before = last.get(k, (0, None))
+        want[k, v] = (n, before)
+        last[k] = (n + 1, v)
+    assert {(r["k"], r["v"]): (r["rank"], r["before"]) for r in found} == want
+    assert ranked_within(spark.createDataFrame([], "k string, v bigint"), "k", "v").count() == 0
+
+
 @given(st.lists(st.integers(0, 2**62)))
 def test_varbyte_round_trip(values):
     data, size = varbyte.encode(np.array(values, dtype=np.int64))
