@@ -33,13 +33,19 @@ def term_weights(postings: DataFrame, doc_stats: DataFrame, k1: float = 1.2, b:
     stats = written(pairs.groupBy("term").agg(F.count("*").alias("ft"), F.sum("tf").alias("cf")), "term-stats")
     held = stats.agg(F.coalesce(F.sum(F.octet_length("term") + 48), F.lit(0))).first()[0]
     if held <= BROADCAST_BYTES:
-        stats = F.broadcast(stats)
+        joined = pairs.join(F.broadcast(stats), "term")
+    else:
+        # a term with a thousandth of all pairs is hot: under a thousand of them are broadcast, so no task gets one whole
+        least = (stats.agg(F.sum("ft")).first()[0] or 0) // 1000
+        hot = stats.where(F.col("ft") > least)
+        rest = pairs.join(F.broadcast(hot.select("term")), "term", "left_anti").join(stats.where(F.col("ft") <= least), "term")
+        joined = pairs.join(F.broadcast(hot), "term").unionByName(rest)
     n, mean = float(n), float(mean or 1.0)
     ft, tf = F.col("ft"), F.col("tf")
     idf = F.log((F.lit(n) - ft + 0.5) / (ft + 0.5) + 1.0)
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(mean))
     residual = F.log2(F.lit(n) / ft) + F.log2(1.0 - F.exp(-F.col("cf") / F.lit(n)))
-    return pairs.join(stats, "term").select("doc_id", "term", "tf", "ft", "cf", (tf * residual).alias("residual"), (idf * (tf * (k1 + 1)) / (tf + norm)).alias("weight"))
+    return joined.select("doc_id", "term", "tf", "ft", "cf", (tf * residual).alias("residual"), (idf * (tf * (k1 + 1)) / (tf + norm)).alias("weight"))
 
 
 def top_terms(weights: DataFrame, by: str = "weight", least_ft: int = 2) -> DataFrame:
