@@ -401,7 +401,9 @@ def snippets_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["snippets"], SQL["snippets"] = QUERIES.pop("snippets_top"), SQL.pop("snippets_top")
 
 
-@query()
+@query(
+    f"with recursive {_top(WORDS)}, {_windows(_TOP_DOCS, WORDS)}, {_PICK}, {_shown(WORDS)} select doc_id, to_json({{'docID': doc_id, 'snippets': list(snippet order by pos)}})::varchar as json from shown group by doc_id"
+)
 def snippet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets.snippet_json(snippets_top(spark, sf_dir))
 

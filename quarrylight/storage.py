@@ -13,8 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     On a cluster an unset folder is an error: a machine-local folder would lose data with its executor.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("quarrylight.shared.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarrylight.shared.dir", None)
     if not path:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
