@@ -132,6 +132,15 @@ _ALIKE = """words as (select line_no, list_filter(list_transform(string_split_re
 
 SQL = {
     "p3_found": f"with {_ALIKE} select line_a, line_b from pairs",
+    "p3_groups": f"""with recursive {_ALIKE},
+  same as (select line_a, line_b from common join n x on x.line_no = line_a join n y on y.line_no = line_b where c = x.n and c = y.n),
+  classes as (select line_no, least(line_no, coalesce(min(line_a), line_no)) as class_id from n left join same on line_b = line_no group by line_no),
+  edges as (select distinct a.class_id as a, b.class_id as b from pairs join classes a on a.line_no = line_a join classes b on b.line_no = line_b where a.class_id <> b.class_id),
+  ways as (select a, b from edges union select b, a from edges),
+  reach(a, b) as (select class_id, class_id from classes union select r.a, w.b from reach r join ways w on w.a = r.b),
+  groups as (select a as class_id, min(b) as group_id from reach group by a),
+  degree as (select a as class_id, count(*) as links from ways group by a)
+  select line_no, class_id, group_id, coalesce(links, 0) as links from classes join groups using (class_id) left join degree using (class_id)""",
     "p4_found": f"with {_WEIGHTS} select doc_id, term from w qualify row_number() over (partition by doc_id order by weight desc, term) = 1",
     "p4_residual": f"with {_WEIGHTS} select doc_id, term, round(residual, 6) as residual from w qualify row_number() over (partition by doc_id order by residual desc, term) = 1",
     "p5_found": f"with {_TERMS} select term from m where mark is not null",
