@@ -283,3 +283,12 @@ def test_http(stored):
 
 def test_statistics_defaults():
     assert Statistics(0, 0.0).defaulted() == Statistics(1 << 31, 1.0)
+
+
+def test_query_reads_only_its_terms(stored):
+    """The terms reach the scan, which reads no texts; one shuffle adds up by document."""
+    df = rank.rank(stored.postings, stored.lexicon, ["the", "boats"], stored.stats)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [boats,the])" in plan or "In(term, [the,boats])" in plan
+    assert "ReadSchema: struct<term:string,doc_id:bigint,tf:bigint,dl:bigint>" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "TakeOrderedAndProject" in plan
