@@ -58,7 +58,14 @@ _LINES = f"""fields as (select line_no, external_id as i, text as t, true as spl
   lines as (select line_no, case when regexp_full_match(i, '[0-9]+') and length(ltrim(i, '0')) <= 19 then try_cast(i as bigint) end as id, t as text,
       split or (t is not null and trim(t, ' ') <> '') as has_text from plain)"""
 
+_REASONS = f"""why as (select case when line is null then 'null line' when not regexp_full_match(l, '(?s:{_FIELD}(\t{_FIELD})*)') then 'broken quoting'
+      when regexp_full_match(l, '(?s:{_FIELD})') then 'too few fields' when not regexp_full_match(l, '(?s:{_FIELD}\t{_FIELD})') then 'too many fields'
+      when i = '' then 'missing id' when id is null then 'invalid id' when not has_text then 'empty text' end as reason
+    from (select line_no, line, regexp_replace(line, '\r$', '') as l from collection_raw) join lines using (line_no) join plain using (line_no)
+    union all select case when coalesce(i, '') = '' then 'missing id' else 'invalid id' end from lines join plain using (line_no) where plain.split and id is null)"""
+
 SQL = {
+    "p6_reasons": f"with {_LINES}, {_REASONS} select reason, count(*) as n from why where reason is not null group by all",
     "p6_found": f"with {_LINES} select line_no from lines where id is null or not has_text",
     "p6_loaded": f"with {_LINES} select line_no, id, text from lines where id is not null and has_text",
     "p2_found": f"""with {COUNTED},
