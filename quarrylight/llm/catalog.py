@@ -11,12 +11,17 @@ from quarrylight.storage import written
 from quarrylight.tables import spread, table
 
 
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows that can be garbled; a text of ASCII characters can't and is not sent to Python."""
+    return encoding.repair_encoding(encoding.beyond_ascii(spread(table(spark, sf_dir, "collection").select("line_no", "text"))))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.repair_encoding(spread(table(spark, sf_dir, "collection").select("line_no", "text"))).where("garbled").select("line_no")
+    return _repaired(spark, sf_dir).where("garbled").select("line_no")
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.repair_encoding(spread(table(spark, sf_dir, "collection").select("line_no", "text"))).where("layers > 0").select("line_no", "restored", "layers")
+    return _repaired(spark, sf_dir).where("layers > 0").select("line_no", "restored", "layers")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

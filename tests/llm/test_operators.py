@@ -13,75 +13,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylight.llm import encoding, mixing, nearcopies, packing, prose, termcounts, tokens, weighting
+from quarrylight.llm import mixing, nearcopies, packing, prose, termcounts, tokens, weighting
 from quarrylight.llm.ranks import ranked
 from tests.conftest import rows
 
 POSTINGS = "shard_no int, run_no int, rec_no bigint, term string, doc_id bigint, freq int, tf string, len string"
 
 
-# ---------------------------------------------------------------- wrongly decoded text
-
-CLEAN = [
-    "Le théâtre brûlé coûte 350 € à Kalarman, où l’été ferme déjà la forêt.",
-    "Für die Größe der Straße müßte man zunächst prüfen, ob es schön ist.",
-    "¿Dónde está la montaña? Así que la lección quedó española y rápida.",
-    "ATENÇÃO: A ESTAÇÃO NÃO fecha até amanhã, então há coleção.",
-    "Właściciel żółw mówi, że wieś jest ciężka i późna, koło łąki.",
-    "Новая мельница в городе была закрыта после долгой зимы.",
-    "Η παλιά γέφυρα κοντά στην πόλη είναι πάντα ήσυχη.",
-    "The Ðorrin and Þelva dialects keep the sounds æ and â apart 🙂.",
-    "At √2 ≈ 1.414 the ±2 °C range of the gauge is reached, see § 4.",
-    "Sizes up to 5×7 cm fit the naïve layout of the İzel press of Røsinnor.",
-    "The menu of the café lists a crème brûlée for £6 and a naïve jalapeño dip.",
-    "It’s the keeper’s “first” loom — and the city of Zelusvèn or Elettâ then waits.",
-    "Prices start at €12 – roughly ½ of what the ÂGE D’OR line asked before.",
-    "D’après la matière, l’été reste créé même si la forêt dépasse.",
-]
-
-
-def misread(text, read_as):
-    return "".join(encoding._TABLES[read_as][b] for b in text.encode())
-
-
-@pytest.mark.parametrize("text", CLEAN)
-def test_clean_text_stays(text):
-    assert encoding.repair(text) == (False, text, 0)
-
-
-@pytest.mark.parametrize("read_as", ["cp1252", "mac_roman", "cp437", "cp850", "cp1250"])
-@pytest.mark.parametrize("text", CLEAN[:7])
-def test_utf8_round_trip(text, read_as):
-    assert encoding.repair(misread(text, read_as)) == (True, text, 1)
-
-
-@pytest.mark.parametrize("text", CLEAN[:5])
-def test_two_layers(text):
-    assert encoding.repair(misread(misread(text, "cp1252"), "cp1252"))[:2] == (True, text)
-
-
-@pytest.mark.parametrize(("text", "written_in", "read_as"), [(CLEAN[0], "cp1252", "mac_roman"), (CLEAN[1], "cp1252", "cp1251"), (CLEAN[2], "cp1252", "cp1251"), (CLEAN[4], "cp1250", "cp1252"), (CLEAN[5], "cp1251", "cp1252"), (CLEAN[5], "koi8-r", "cp1251")])
-def test_other_encodings(text, written_in, read_as):
-    garbled, restored, _ = encoding.repair(text.encode(written_in).decode(read_as))
-    assert garbled and restored == text
-
-
-def test_part_of_a_text_and_lost_characters():
-    both = CLEAN[0] + " " + misread(CLEAN[2], "cp1252")
-    assert encoding.repair(both)[:2] == (True, CLEAN[0] + " " + CLEAN[2])
-    for lost in ("As� que la lecci�n", "The clerk�s house", "The old scholar of the town doesnât need it at the end of the day", "müÃte die StraÃe zÃ¤hlen"):
-        assert encoding.repair(lost)[0]
-
-
-def test_encoding_edges(spark):
-    long = misread(CLEAN[0] + " ", "cp1252") * 3000
-    data = [(1, None, "x"), (2, "", "x"), (3, misread(CLEAN[1], "cp1252"), None), (3, misread(CLEAN[1], "cp1252"), None), (None, "a", "b"), (4, long, "x")]
-    df = spark.createDataFrame(data, "line_no bigint, text string, restored string")
-    found = rows(encoding.repair_encoding(df).select("line_no", "garbled", "layers"))
-    assert found == sorted([(1, False, 0), (2, False, 0), (3, True, 1), (3, True, 1), (None, False, 0), (4, True, 1)], key=repr)
-    assert encoding.repair_encoding(df.limit(0)).count() == 0
-
-
 # ---------------------------------------------------------------- near copies
 
 
