@@ -54,16 +54,24 @@ def edited(seed, n, words=12):
     return texts
 
 
-@pytest.mark.parametrize(("run", "t", "tile", "subtile"), [(3, 0.5, 2048, 256), (2, 0.6, 4, 2), (5, 0.8, 2048, 256)])
-def test_pairs_are_exact(spark, monkeypatch, run, t, tile, subtile):
-    """Small tiles make every bucket a hot one."""
-    monkeypatch.setattr(nearcopies, "TILE", tile)
-    monkeypatch.setattr(nearcopies, "SUBTILE", subtile)
-    monkeypatch.setattr(nearcopies, "SMALL", 1 if tile < 100 else 32)
+@pytest.mark.parametrize(
+    ("run", "t", "small"),
+    [
+        (3, 0.5, {}),
+        (5, 0.8, {}),
+        (2, 0.6, {"TILE": 4, "SUBTILE": 2, "SMALL": 1}),  # every bucket is cut into tiles once its size is seen
+        (2, 0.6, {"TILE": 4, "SUBTILE": 2, "SMALL": 1, "BLOCK": 200, "REPORTED": 2}),  # and the frequent ones from the start
+        (3, 0.5, {"MOST_IDS": 0, "SLOTS": 64, "BLOCK": 100, "REPORTED": 1, "PART_ROWS": 50}),
+        (3, 0.5, {"HOT": 0, "SALTS": 3, "FREQUENT": 5}),  # joins on hot keys
+    ],
+)
+def test_pairs_are_exact(spark, monkeypatch, run, t, small):
+    for name, value in small.items():
+        monkeypatch.setattr(nearcopies, name, value)
     texts = edited(run, 150)
     data = [(i, x, "f") for i, x in enumerate(texts)] + [(1000 + i, texts[0], None) for i in range(20)] + [(2000, None, ""), (2001, "", ""), (2002, "one two", ""), (None, texts[1], "")]
     df = spark.createDataFrame(data, "line_no bigint, text string, id string")
-    members, links = nearcopies.alike(df, run=run, similarity=t, slots=1 << 16)
+    members, links = nearcopies.alike(df, run=run, similarity=t)
     assert set(rows(nearcopies.alike_pairs(members, links))) == brute_pairs(data, run, t)
     found = {r["line_no"]: r for r in nearcopies.groups(members, links).collect()}
     parent = {i: i for i in found}
@@ -99,9 +107,42 @@ def test_sketch_bounds_difference():
             assert (bits[0] ^ bits[1]).sum() <= len(np.setxor1d(x, y))
 
 
+@pytest.mark.parametrize("slots", [1 << 24, 1 << 10, 2])
+def test_rows_of_a_text_do_not_grow(slots):
+    """However full the table of frequent runs is, a text has as many bucket rows as its prefix has runs."""
+    texts = edited(4, 400, words=40)
+    rows, hashes = nearcopies.run_sets(texts, 3)
+    table = np.zeros(slots, dtype=np.uint8)
+    table[nearcopies._slot(hashes, slots)] = 3
+    got, _, _, held = nearcopies.prefix_rows(texts, np.arange(400), 3, 0.5, table)
+    n = np.bincount(rows, minlength=400)
+    assert (held["n"] == n).all() and (np.bincount(got, minlength=400) == np.where(n, n // 2 + 1, 0)).all()
+
+
+def test_packing_of_bucket_rows():
+    texts = np.zeros(50, dtype=nearcopies._TEXT)
+    texts["id"], texts["n"], texts["bits"] = np.arange(50) * 7, np.arange(50), np.arange(200).reshape(50, 4)
+    assert (nearcopies._from_columns(nearcopies._columns(texts), nearcopies._TEXT) == texts).all()
+    key, text = np.arange(500, dtype=np.uint64) * np.uint64(977), np.arange(500) % 50
+    found = []
+    for batch in nearcopies._packed(key, text, np.zeros(500, dtype=np.uint8), texts, 7):
+        for part, r, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            r, x = nearcopies._from_columns(r, nearcopies._ROW), nearcopies._from_columns(x, nearcopies._TEXT)
+            assert 0 <= part < 7
+            found += zip(r["key"].tolist(), x["id"][r["text"]].tolist(), strict=True)
+    assert sorted(found) == sorted(zip(key.tolist(), (text * 7).tolist(), strict=True))
+
+
+def test_uneven_join(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "HOT", 10)
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(900)], "k bigint, v bigint")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (5, "d"), (None, "e")], "k bigint, w string")
+    assert rows(nearcopies.uneven_join(left, right, "k", F.col("v")).select("k", "v", "w")) == rows(left.join(right, "k").select("k", "v", "w"))
+
+
 def test_no_texts(spark):
     empty = spark.createDataFrame([], "line_no bigint, text string")
-    members, links = nearcopies.alike(empty, slots=1 << 16)
+    members, links = nearcopies.alike(empty)
     assert rows(nearcopies.alike_pairs(members, links)) == rows(nearcopies.groups(members, links)) == []
 
 
