@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylight.llm import mixing, nearcopies, packing, prose, termcounts, tokens, weighting
+from quarrylight.llm import mixing, nearcopies, packing, termcounts, tokens, weighting
 from quarrylight.llm.ranks import ranked
 from tests.conftest import rows
 
@@ -336,31 +336,3 @@ def test_ranks(spark):
     for x in ranked(df, ["k"], F.xxhash64("i"), salts=8).collect():
         found[x["k"]].append(x["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in found.values())
-
-
-# ---------------------------------------------------------------- prose
-
-
-def test_prose_on_labels(spark, small):
-    """Labels are not used in the profiles' fit here; raters who differ are left out."""
-    sf = small.replace("sf0.001", "sf0.1")
-    found = {r["doc_id"]: r for r in prose.text_statistics(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/common_words.parquet")).collect()}
-    labels = defaultdict(set)
-    for r in spark.read.parquet(f"{sf}/doc_labels.parquet").where("label is not null").collect():
-        labels[r["doc_id"]].add(r["label"])
-    sure = {d: v.pop() for d, v in labels.items() if len(v) == 1}
-    right = [found[d]["is_prose"] == (label == "prose") for d, label in sure.items() if d in found]
-    assert len(right) > 100 and sum(right) / len(right) >= 0.99
-
-
-def test_prose_edges(spark):
-    line = "It was not until the end of the year that the nurse of the town found a way to be kept in the ward. "
-    texts = {1: None, 2: "", 3: " \n\t", 4: line * 3, 5: (line * 3).upper(), 6: "- loom\n- kiln\n- oven (3 kg)\n" * 8, 7: "@@@ ### $$$\n" * 30, 8: "click here " * 50, 9: line * 3000, 10: line + "| a | 1 |\n" * 80, 11: (line * 3).replace(" ", "\n")}
-    words = spark.createDataFrame([(w, "en") for w in "it was not until the of that a to be in way end".split()] + [(None, "en"), ("x", None)], "word string, lang string")
-    df = spark.createDataFrame([(i, t, "p") for i, t in texts.items()] + [(4, texts[4], "p")], "doc_id bigint, text string, profile string")
-    found = {r["doc_id"]: r for r in prose.text_statistics(df, words).collect()}
-    assert {i: r["is_prose"] for i, r in found.items()} == {1: None, 2: None, 3: None, 4: True, 5: True, 6: False, 7: False, 8: False, 9: True, 10: False, 11: True}
-    assert found[4]["words"] == len(texts[4].split()) and found[6]["lines"] == 24 and found[6]["line_end_share"] == pytest.approx(1 / 3)
-    assert found[7]["symbol_ratio"] == 1.0 and found[4]["mean_word_length"] == pytest.approx(np.mean([len(w) for w in texts[4].split()]), abs=1e-6)
-    assert prose.text_statistics(df.limit(0), words).count() == 0
-    assert prose.text_statistics(df, words.limit(0)).count() == len(texts) + 1
