@@ -135,7 +135,14 @@ _ALIKE = """words as (select line_no, list_filter(list_transform(string_split_re
   common as (select a.line_no as line_a, b.line_no as line_b, count(*) as c from runs a join runs b on a.r = b.r and a.line_no < b.line_no group by all),
   pairs as (select line_a, line_b from common join n x on x.line_no = line_a join n y on y.line_no = line_b where 2 * c >= x.n + y.n - c)"""
 
+# Sizes keep so clear of the limits that bytes decide as tokens do, at four bytes a token.
+_SOURCES = """own as (select translate(lower(trim(source)), '- ', '__') as key, sum(strlen(text))::bigint as size from documents where source is not null group by all),
+  wanted as (select source, target_share, coalesce(max_repeats, 1) as most, coalesce(size, 0) as size
+    from mix_targets left join own on key = translate(lower(trim(mix_targets.source)), '- ', '__') where mix_targets.source is not null and target_share is not null)"""
+
 SQL = {
+    "p7_found": "select distinct doc_id from documents where strlen(text) > 4 * (select max(capacity) from pack_sizes)",
+    "p8_found": f"with {_SOURCES} select source from wanted where most * size < target_share * (select sum(size) from wanted)",
     "p3_found": f"with {_ALIKE} select line_a, line_b from pairs",
     "p3_groups": f"""with recursive {_ALIKE},
   same as (select line_a, line_b from common join n x on x.line_no = line_a join n y on y.line_no = line_b where c = x.n and c = y.n),

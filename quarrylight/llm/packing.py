@@ -15,6 +15,11 @@ from quarrylight.llm.tokens import PATTERN, TOKENIZER, token_counter
 from quarrylight.storage import written
 
 
+#: Most profiles, and the greatest capacity: the plan, which is made on the driver and broadcast, has a few steps for each size
+#: up to the capacity and not more, whatever the number of documents.
+MOST_PROFILES, MOST_CAPACITY = 1000, 1 << 20
+
+
 class OpenBins:
     """A segment tree over remaining capacities that holds how many bins are open at each."""
 
@@ -95,15 +100,16 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
 
     A document over the capacity is cut into pieces that fill a container each, and a rest; no other is cut. Containers are
     numbered from 0 within a profile. The numbers of pieces by size, at most capacity many, go to the driver, which plans
-    the packing; each piece then finds its container from its size and its place among the pieces of that size.
+    the packing; each piece then finds its container from its size and its place among the pieces of that size. Over
+    ``MOST_PROFILES`` profiles or a capacity over ``MOST_CAPACITY`` are an error.
 
     Documents without tokens take no room: one piece, container null. Repeated rows are packed one by one. Rows of
     ``capacities`` without a profile or with a capacity under 1 are left out; an empty table on either side gives no rows.
     """
     spark = sizes.sparkSession
-    profiles = [(r["profile"], r["capacity"]) for r in capacities.where("profile is not null and capacity > 0").select("profile", F.col("capacity").cast("bigint").alias("capacity")).distinct().limit(1001).collect()]
-    if len(profiles) > 1000:
-        raise ValueError("more than 1000 container profiles")
+    profiles = [(r["profile"], r["capacity"]) for r in capacities.where("profile is not null and capacity > 0").select("profile", F.col("capacity").cast("bigint").alias("capacity")).distinct().limit(MOST_PROFILES + 1).collect()]
+    if len(profiles) > MOST_PROFILES or any(c > MOST_CAPACITY for _, c in profiles):
+        raise ValueError(f"more than {MOST_PROFILES} container profiles, or a capacity over {MOST_CAPACITY}")
     if not profiles:
         sizes, profiles = sizes.limit(0), [("", 1)]
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).cast("bigint").alias("capacity")) for p, c in profiles]))

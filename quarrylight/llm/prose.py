@@ -304,7 +304,7 @@ def fit_profiles(texts: list[str], labels: list[str], kinds: Tokens) -> tuple[di
     return by_language, mean(w.character_shares[prose]), mean(w.forms[prose]), tuple(other)
 
 
-def text_statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", most_words: int = 100_000) -> DataFrame:
     """One row per document: words, lines, line_end_share (lines ending in punctuation), mean_word_length, symbol_ratio,
     common_word_share, divergence, prose_share, profile and is_prose.
 
@@ -320,9 +320,9 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, key: str = "d
     Null, empty and blank texts: no words, zeros, profile and is_prose null. Whole texts are used, of any length. Repeated
     rows give the same result; an empty table gives none; other columns are dropped. Null words or languages are left out.
     """
-    words = common_words.where("lang is not null and word is not null").select("lang", "word").distinct().limit(100_001).collect()
-    if len(words) > 100_000:
-        raise ValueError("more than 100,000 common words")
+    words = common_words.where("lang is not null and word is not null").select("lang", "word").distinct().limit(most_words + 1).collect()
+    if len(words) > most_words:
+        raise ValueError(f"more than {most_words} common words")
     common: dict[str, set[str]] = {}
     for r in words:
         common.setdefault(r["lang"], set()).add(r["word"].lower())

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quarrylight.operators.postings import countable, document_terms
 from quarrylight.storage import written
 
-#: Identifiers in one count array.
-RANGE = 1 << 14
+#: Identifiers in one count array, and rows whose terms are encoded and counted together.
+RANGE, BLOCK = 1 << 14, 1 << 20
 _COUNTS = "range_no bigint, first bigint, occurrences array<bigint>, records array<bigint>"
 
 
@@ -34,6 +34,29 @@ def term_dictionary(terms: DataFrame) -> DataFrame:
     return numbered.withColumn("part", part).join(F.broadcast(offsets), "part").select("term", (F.col("start") + within).alias("id"))
 
 
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block of (term, tf) rows, a row per document and term: its terms, and the two count arrays over their codes."""
+
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        terms = rows.column(0).chunk(0).dictionary_encode()
+        codes = terms.indices.to_numpy()
+        occurrences = np.zeros(len(terms.dictionary), dtype=np.int64)
+        np.add.at(occurrences, codes, rows.column(1).to_numpy())
+        return pa.RecordBatch.from_arrays([terms.dictionary, pa.array(occurrences), pa.array(np.bincount(codes, minlength=len(occurrences)))], names=["term", "occurrences", "records"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= BLOCK:
+            yield counted(held)
+            held, size = [], 0
+    if held:
+        yield counted(held)
+
+
 def _count_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block of encoded rows and identifier range, the two count arrays between the least and greatest identifier."""
     for batch in batches:
@@ -86,19 +109,15 @@ def _sum_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_counts(postings: DataFrame) -> DataFrame:
     """(term, occurrences, records): summed ``freq`` and number of documents of every cleaned term.
 
-    Rows shuffle once, by term and document, so that no term is one task's; each block is then reduced to one row per term
-    it has. These rows are encoded with the dictionary, added into count arrays by block, and the arrays are summed by
-    identifier range.
+    Rows shuffle once, by term and document, so that no term is one task's. Each block's rows are encoded with codes of its own
+    and added into its two count arrays; the codes are then replaced by the identifiers of a global dictionary, built from
+    the blocks' terms, and the arrays are summed by identifier range.
 
     Null terms, documents or record names, empty terms and ``freq`` that is null or under 1 don't count; repeats count
     once. Empty table: no rows. Other columns are dropped.
     """
-    blocks = written(
-        document_terms(postings, "term", "doc_id")
-        .groupBy(F.spark_partition_id().alias("block"), "term")
-        .agg(F.sum("tf").alias("occurrences"), F.count("*").alias("records")),
-        "term-blocks",
-    )
+    pairs = document_terms(postings, "term", "doc_id").select("term", "tf")
+    blocks = written(pairs.mapInArrow(_block_counts, "term string, occurrences bigint, records bigint"), "term-blocks")
     dictionary = term_dictionary(blocks)
     encoded = blocks.join(dictionary, "term").select("id", "occurrences", "records")
     sums = (
