@@ -9,6 +9,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
 
+from quarrylight.operators.rank import query_term_stats
 from quarrylight.plans.build import Index, build_index, open_index
 from quarrylight.plans.search import SearchRequest, search
 from quarrylight.sources.collection import read_tsv
@@ -82,15 +83,21 @@ def main(args: list[str] | None = None) -> None:
     build.add_argument("--max-docs", type=int)
     ask = commands.add_parser("search")
     ask.add_argument("index")
-    ask.add_argument("terms", nargs="+")
+    ask.add_argument("terms", nargs="*")
     ask.add_argument("-k", type=int, default=10)
-    ask.add_argument("--all", action="store_true", help="every term must occur")
+    ask.add_argument("--all", "-and", action="store_true", help="every term must occur")
+    ask.add_argument("-v", nargs="?", const="", metavar="term", help="show how many documents each term has; a term after it belongs to the query")
+    ask.add_argument("--raw", action="store_true", help="terms match as they stand")
     ask.add_argument("--k1", type=float, default=SearchRequest.k1)
     ask.add_argument("--b", type=float, default=SearchRequest.b)
     run = commands.add_parser("serve")
     run.add_argument("index")
     run.add_argument("--port", type=int, default=8080)
     a = parser.parse_args(args)
+    if a.command == "search":
+        a.terms += [a.v] if a.v else []
+        if not a.terms:
+            parser.error("no terms")
     spark = SparkSession.builder.appName("quarrylight").getOrCreate()
     if a.command == "build":
         build_index(spark, read_tsv(spark, a.collection, a.max_docs).select("doc_id", "text"), a.index, a.block)
@@ -98,7 +105,11 @@ def main(args: list[str] | None = None) -> None:
     index = open_index(spark, a.index)
     if a.command == "serve":
         serve(index, a.port).serve_forever()
-    for n, r in enumerate(search(index, SearchRequest(" ".join(a.terms), a.k, a.all, k1=a.k1, b=a.b))["results"], 1):
+    request = SearchRequest(" ".join(a.terms), a.k, a.all, not a.raw, a.k1, a.b)
+    if a.v is not None:
+        for r in query_term_stats(index.lexicon, request.terms()).collect():
+            print(f"df[{r['term']}]={r['ft']}" if r["ft"] else f"{r['term']} is not in the lexicon")
+    for n, r in enumerate(search(index, request)["results"], 1):
         print(f"{n:2}. doc={r['docID']} score={r['score']:.4f}")
         for s in r["snippets"]:
             print(f"    {s}")

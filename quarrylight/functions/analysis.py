@@ -20,7 +20,7 @@ def terms(text: Column) -> Column:
     Characters are deleted from the whole text at once, which equals cleaning token by token.
     """
     kept = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9 \t\n\x0B\f\r]+", ""))
-    return F.filter(F.split(kept, SPACE), lambda t: t != "")
+    return F.array_remove(F.split(kept, SPACE), "")
 
 
 def vb_len(n: Column) -> Column:

@@ -26,33 +26,3 @@ def running_total(df: DataFrame, order: list[str], **values: Column) -> DataFram
     for k, v in values.items():
         local = local.withColumn(k, F.col(f"{k}_") + F.coalesce(F.sum(v.cast("bigint")).over(before), F.lit(0)))
     return local.drop("part_", *[f"{k}_" for k in values])
-
-
-def ranked_within(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``df`` with ``rank``, from 0 within ``key`` in ``order``, and ``before``, the value of ``order`` in the row before.
-
-    (key, order) must be unique. Rows are range-partitioned on both, so a key with any share of the rows is cut at sampled
-    quantiles; only the key that a partition begins with may have rows before it, and two rows per partition tell how many
-    and which is the last. ``before`` is null in a key's first row. An empty table gives no rows.
-    """
-    parts = written(df.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("part_", F.spark_partition_id()), "ranges")
-    ends = parts.groupBy("part_").agg(F.min(key).alias("first_"), F.max(key).alias("last_"))
-    at_ends = parts.groupBy("part_", key).agg(F.count("*").alias("n"), F.max(order).alias("highest")).join(F.broadcast(ends), "part_")  # a row per task
-    seen: dict[int, dict] = {}
-    for r in at_ends.where((F.col(key) == F.col("first_")) | (F.col(key) == F.col("last_"))).collect():
-        seen.setdefault(r["part_"], {"first": r["first_"], "last": r["last_"]})[r[key]] = (r["n"], r["highest"])
-    rows, last, count, highest = [], None, 0, None
-    for part in sorted(seen):
-        s = seen[part]
-        carried = s["first"] == last
-        rows.append((part, s["first"], count if carried else 0, highest if carried else None))
-        count = s[s["last"]][0] + (count if carried and s["first"] == s["last"] else 0)
-        last, highest = s["last"], s[s["last"]][1]
-    kinds = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    starts = df.sparkSession.createDataFrame(rows, f"part_ int, first_ {kinds[0]}, count_ bigint, before_ {kinds[1]}")
-    within = Window.partitionBy("part_", key).orderBy(order)
-    opens = F.col(key) == F.col("first_")
-    placed = parts.join(F.broadcast(starts), "part_")
-    rank = F.row_number().over(within) - 1 + F.when(opens, F.col("count_")).otherwise(0)
-    before = F.coalesce(F.lag(order).over(within), F.when(opens, F.col("before_")))
-    return placed.withColumn("rank", rank.cast("bigint")).withColumn("before", before).drop("part_", "first_", "count_", "before_")

@@ -12,6 +12,11 @@ from quarrylight.functions.scoring import K1, B, Statistics, contribution
 OR, AND = "or", "and"
 #: Rows of query terms up to which they are broadcast, and the parts of a hot term beyond it.
 MOST_ASKED, SALTS = 1 << 18, 64
+#: Distinct terms of a batch up to which they are handed to the scan as a list; beyond it a join picks the rows.
+MOST_LISTED = 1 << 14
+#: Documents of a query's rarest term up to which AND skips to them, how many times as many the most frequent one must have, and
+#: the ranges of ids that the scan is given.
+SKIP_FROM, SKIP_TIMES, SKIP_RANGES = 4096, 128, 16
 
 
 def _multiplicity(terms: list[str]) -> Column:
@@ -25,7 +30,7 @@ def _multiplicity(terms: list[str]) -> Column:
 
 def matching(post: DataFrame, terms: list[str], mode: str = OR) -> DataFrame:
     """(doc_id) of documents with any, or all, of the terms; no terms match nothing."""
-    docs = post.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.count_distinct("term").alias("n"))
+    docs = post.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.count("*").alias("n"))  # a row per term and document
     return docs.where(F.col("n") == len(set(terms))).select("doc_id") if mode == AND else docs.select("doc_id")
 
 
@@ -43,11 +48,29 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return best.select(rank.cast("int").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
 
 
+def skip_ranges(ids: list[int], most: int = SKIP_RANGES) -> list[tuple[int, int]]:
+    """Ranges that hold the ids, cut at the widest gaps between them."""
+    ids = sorted(ids)
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    return [(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def skipped_to(rows: DataFrame, rarest: str) -> DataFrame:
+    """The rows of documents that have the rarest term, few enough to be listed. Ranges of their ids reach the scan, which passes
+    over the row groups and pages of the other terms that hold none."""
+    ids = [r["doc_id"] for r in rows.where(F.col("term") == rarest).select("doc_id").collect()]  # SKIP_FROM at most
+    inside = F.lit(False)
+    for low, high in skip_ranges(ids):
+        inside = inside | F.col("doc_id").between(low, high)
+    return rows.where(inside).where(F.col("doc_id").isin(ids))
+
+
 def rank(post: DataFrame, lexicon: DataFrame, terms: list[str], stats: Statistics, mode: str = OR, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """(rank, doc_id, score) of a bag of terms. A term given twice counts twice; AND asks for every distinct one.
 
     Only the rows of the query's terms are read, which the stored index has next to each other. The terms' frequencies come
-    from the lexicon, a row per term.
+    from the lexicon, a row per term. AND with a term that is rare beside another reads only where its documents are.
     """
     found = {r["term"]: r["ft"] for r in lexicon.where(F.col("term").isin(terms)).select("term", "ft").collect()} if terms else {}
     if not found or mode == AND and len(found) < len(set(terms)):
@@ -56,6 +79,9 @@ def rank(post: DataFrame, lexicon: DataFrame, terms: list[str], stats: Statistic
     for t, n in found.items():
         ft = F.when(F.col("term") == t, F.lit(n)).otherwise(ft)
     rows = post.where(F.col("term").isin(list(found)))
+    rarest = min(found, key=lambda t: (found[t], t))
+    if mode == AND and found[rarest] <= SKIP_FROM and max(found.values()) >= SKIP_TIMES * found[rarest]:
+        rows = skipped_to(rows, rarest)
     part = contribution(F.col("tf"), ft, stats, k1, b) * _multiplicity(terms)
     scored = rows.groupBy("doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     if mode == AND:
@@ -67,13 +93,17 @@ def rank_batch(post: DataFrame, lexicon: DataFrame, queries: DataFrame, stats: S
     """(query_id, rank, doc_id, score) for many queries at once: ``queries`` has query_id, terms (an array), k, conjunctive.
 
     Null terms or an empty array, and ``k`` under 1 or null, give no hits; a null ``conjunctive`` is OR. Postings meet the
-    queries by term, are added up by query and document before anything is ordered, and each query keeps its k best.
+    queries by term, are added up by query and document before anything is ordered, and each query keeps its k best, in each
+    task first.
     """
     asked = queries.where("k > 0 and size(terms) > 0").select("query_id", F.coalesce("conjunctive", F.lit(False)).alias("conjunctive"), "k", F.explode("terms").alias("term"))
     bag = asked.groupBy("query_id", "conjunctive", "k", "term").agg(F.count("*").alias("times"))
     asked_for = queries.select("query_id", F.size(F.array_distinct("terms")).alias("distinct_terms"))
     known = bag.join(lexicon.select("term", "ft"), "term")
     rows = post.select("term", "doc_id", "tf", *([stats.length] if stats.length else []))
+    listed = [r["term"] for r in known.select("term").distinct().limit(MOST_LISTED + 1).collect()]
+    if len(listed) <= MOST_LISTED:  # the scan then reads the row groups of these terms only
+        rows = rows.where(F.col("term").isin(listed))
     if known.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
         hits = rows.join(F.broadcast(known), "term")
     else:  # a term with a thousandth of all postings is hot; under a thousand are, and their query rows are repeated by salt
@@ -86,6 +116,9 @@ def rank_batch(post: DataFrame, lexicon: DataFrame, queries: DataFrame, stats: S
     part = contribution(F.col("tf"), F.col("ft"), stats, k1, b) * F.col("times")
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("k").alias("k"), F.first("conjunctive").alias("conjunctive"))
     kept = scored.join(asked_for, "query_id").where(~F.col("conjunctive") | (F.col("matched") == F.col("distinct_terms")))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
+    most = queries.agg(F.max("k")).first()[0] or 0
+    order = Window.partitionBy("query_id").orderBy(F.desc("r6"), "doc_id")
+    # with the greatest k as a literal, each task keeps that many of a query before anything is shuffled by query
+    best = kept.withColumn("r6", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(most, 0))
+    ranked = best.where(F.col("rank") <= F.col("k"))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.round("score", 4).alias("score"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _WORD = "[A-Za-z0-9_']"
+_IS_WORD = re.compile(_WORD)
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _SEGMENT = f"{_WORD}+|[^A-Za-z0-9_']+"
 
 
@@ -102,10 +105,42 @@ def pick(window_table: DataFrame, per: int = 2) -> DataFrame:
     return chosen.select("doc_id", "pos", F.col("w.match_tok").alias("match_tok"), F.col("w.char_l").alias("char_l"), F.col("w.char_r").alias("char_r"), (-F.col("w.s")).alias("score"))
 
 
+def marked(text: str, words: list[str]) -> str:
+    """``highlight`` of one text: the places of all words, joined where they overlap or touch."""
+    low = text.translate(_LOWER)
+    places = []
+    for w in {x.translate(_LOWER) for x in words if x}:
+        at = low.find(w)
+        while at >= 0:
+            end = at + len(w)
+            if not (at and _IS_WORD.match(text[at - 1]) or end < len(text) and _IS_WORD.match(text[end])):
+                places.append((at, end))
+            at = low.find(w, end)
+    out, done, places = [], 0, sorted(places)
+    while places:
+        at, end = places.pop(0)
+        while places and places[0][0] <= end:
+            end = max(end, places.pop(0)[1])
+        out += [text[done:at], "<b>", text[at:end], "</b>"]
+        done = end
+    return "".join(out) + text[done:]
+
+
 def highlight(text: Column, words: list[str]) -> Column:
-    """Every occurrence of a word between word boundaries, in any case, in bold marks."""
+    """Every occurrence of a word between word boundaries, in any case, in bold marks; occurrences that overlap or touch share them.
+
+    Words of letters, digits, ``_`` and ``'`` only can't overlap, so one expression finds them.
+    """
+    words = [w for w in words if w]
     if not words:
         return text
+    if not all(re.fullmatch(f"{_WORD}+", w) for w in words):
+
+        @F.pandas_udf("string")
+        def mark(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: marked(t, words), na_action="ignore")
+
+        return mark(text)
     any_of = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
     return F.regexp_replace(text, f"(?i)(?<!{_WORD})({any_of})(?!{_WORD})", "<b>$1</b>")
 

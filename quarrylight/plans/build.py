@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.analysis import terms
 from quarrylight.functions.scoring import Statistics
 from quarrylight.operators import index
 from quarrylight.storage import written
 from quarrylight.tables import spread
 
-_PARTS = {"postings": ["term", "doc_id", "tf", "dl"], "lexicon": ["term", "start_slot", "end_slot", "first_block", "num_blocks", "ft"], "passages": ["doc_id", "text"], "stats": ["n_docs", "total_len", "avgdl"]}
+_PARTS = {
+    "postings": ["term", "doc_id", "tf", "dl"],
+    "blocks": ["term", "block_no", "n", "first_doc", "last_doc", "docids", "freqs", "block_id", "byte_offset"],
+    "lexicon": ["term", "start_slot", "end_slot", "first_block", "num_blocks", "ft"],
+    "passages": ["doc_id", "text"],
+    "stats": ["n_docs", "total_len", "avgdl", "n_blocks", "block_size"],
+}
 
 
 @dataclass(frozen=True)
@@ -21,40 +27,67 @@ class Index:
     """The tables of a stored index and its corpus statistics."""
 
     postings: DataFrame
+    blocks: DataFrame
     lexicon: DataFrame
     passages: DataFrame
     stats: Statistics
+    block: int
 
 
 def build_index(spark: SparkSession, docs: DataFrame, path: str, block: int = index.BLOCK) -> Index:
     """Writes the index of (doc_id, text) under ``path``, in place of what is there, and opens it.
 
-    Each posting carries its document's length, so that ranking needs no join with a table of lengths. Postings and lexicon
-    are range-partitioned and sorted by term, so a query reads only the row groups of its terms. Documents given twice add
-    up; a null text has no terms.
+    Each posting carries its document's length, so that ranking needs no join with a table of lengths. Postings, blocks and
+    lexicon are sorted by term over range partitions, so a query reads only the row groups of its terms; blocks are encoded
+    in one pass over the sorted postings. Documents given twice add up, in frequencies and in length, and count once; their
+    passage is the one that is greatest in byte order. A null text has no terms.
     """
-    docs = spread(docs)
-    # the length is a column before the terms are exploded: beside the explode it would be computed for every token
-    sized = docs.select("doc_id", terms(F.col("text")).alias("terms")).select("doc_id", F.size("terms").cast("bigint").alias("dl"), "terms")
-    exploded = sized.select("doc_id", "dl", F.explode("terms").alias("term"))
-    # texts are analysed once; sampling for the ranges then reads the counts
-    counted = written(exploded.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")), "counted")
-    counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    index.lexicon(stored, block).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
-    docs.select(*_PARTS["passages"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/passages")
-    n = docs.select("doc_id").count()
-    totals = stored.agg(F.lit(n).cast("bigint").alias("n_docs"), F.coalesce(F.sum("tf"), F.lit(0)).cast("bigint").alias("total_len"))
-    totals.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(0.0)).write.mode("overwrite").parquet(f"{path}/stats")
+    docs = spread(docs.select("doc_id", "text"))
+    repeated = written(index.repeated_lengths(docs), "repeated")
+    again = not repeated.isEmpty()
+
+    def passages() -> None:
+        rows = docs
+        if again:
+            rows = docs.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(docs.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/passages")
+
+    def postings() -> int:
+        # texts are analysed once; sampling for the ranges then reads the counts
+        counted = written(index.sized_postings(docs), "counted")
+        if again:
+            counted = counted.join(repeated, "doc_id", "left").withColumn("dl", F.coalesce("dl_", "dl")).select("term", "doc_id", "tf", "dl")
+        counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        placed = index.ordered_blocks(stored, block)
+        with ThreadPoolExecutor(2) as pool:
+            done = [
+                pool.submit(placed.write.mode("overwrite").parquet, f"{path}/blocks"),
+                pool.submit(lambda: index.lexicon_of(placed).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")),
+            ]
+            for d in done:
+                d.result()
+        return stored.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+
+    with ThreadPoolExecutor(2) as pool:  # the two halves share no stage, and neither fills all cores all the time
+        texts, counts = pool.submit(passages), pool.submit(postings)
+        texts.result()
+        total = counts.result()
+    n = spark.read.parquet(f"{path}/passages").count()
+    blocks = spark.read.parquet(f"{path}/blocks").count()
+    stats = [(n, total, total / n if n else 0.0, blocks, block)]
+    spark.createDataFrame(stats, "n_docs bigint, total_len bigint, avgdl double, n_blocks bigint, block_size bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """Opens a stored index; a missing part or column is an error."""
+    """Opens a stored index; a missing part or column is an error, and so are more or fewer blocks than were written."""
     parts = {}
     for name, columns in _PARTS.items():
         parts[name] = spark.read.parquet(f"{path}/{name}")
         if missing := [c for c in columns if c not in parts[name].columns]:
             raise ValueError(f"{name} of the index at {path} lacks {missing}")
     row = parts["stats"].first()
-    return Index(parts["postings"], parts["lexicon"], parts["passages"], Statistics(row["n_docs"], row["avgdl"]))
+    if parts["blocks"].count() != row["n_blocks"]:  # from the files' footers
+        raise ValueError(f"blocks of the index at {path} are not the {row['n_blocks']} that were written")
+    return Index(parts["postings"], parts["blocks"], parts["lexicon"], parts["passages"], Statistics(row["n_docs"], row["avgdl"]), row["block_size"])

@@ -197,44 +197,44 @@ def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_GAPS} select term, doc_id, block_no, gap from gaps")
 def posting_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.posting_gaps(_postings(spark, sf_dir)).drop("tf")
+    return index.decoded_blocks(stored_index(spark, sf_dir).blocks).drop("tf")
 
 
 @query(f"with {_GAPS} select * from blocks")
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.blocks(index.posting_gaps(_postings(spark, sf_dir)))
+    """From the texts to blocks, without the stored index."""
+    ordered = _postings(spark, sf_dir).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    return index.blocks(index.ordered_blocks(ordered))
 
 
 @query(f"with {_GAPS} select term, block_no, row_number() over w - 1 as block_id, (sum(docid_bytes + freq_bytes) over w - docid_bytes - freq_bytes)::bigint as byte_offset from blocks window w as (order by term, block_no)")
 def block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.block_offsets(blocks(spark, sf_dir))
+    return stored_index(spark, sf_dir).blocks.select("term", "block_no", "block_id", "byte_offset")
 
 
 @query(f"with {_TF} select term, doc_id, tf from tf")
 def block_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings after a round trip through encoded blocks."""
-    encoded = index.encoded_blocks(index.posting_gaps(_postings(spark, sf_dir)))
-    return index.decoded_blocks(encoded).drop("block_no")
+    """Postings as the stored blocks decode to."""
+    return index.decoded_blocks(stored_index(spark, sf_dir).blocks).select("term", "doc_id", "tf")
 
 
 @query(f"with {_GAPS} select term, block_no, last_doc from blocks where last_doc >= {TARGET}")
 def block_skip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.block_skip_candidates(blocks(spark, sf_dir), TARGET)
+    return index.block_skip_candidates(stored_index(spark, sf_dir).blocks, TARGET)
 
 
 @query(
-    "select * from (values ('a_every_term_has_blocks', 0), ('b_slots_and_blocks_add_up', 0), ('c_block_numbers_in_range', 0), ('d_ids_rise_within_blocks', 0), ('e_ids_rise_across_blocks', 0), ('f_last_ids_match', 0), ('g_counts_match_ft', 0)) t(check_name, violations)"
+    "select * from (values ('a_every_term_has_blocks', 0), ('b_slots_and_bytes_add_up', 0), ('c_block_numbers_in_range', 0), ('d_ids_rise_within_blocks', 0), ('e_ids_rise_across_blocks', 0), ('f_last_ids_match', 0), ('g_counts_match_ft', 0)) t(check_name, violations)"
 )
 def selfcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The invariants of the index of all terms; a sound index has none violated."""
-    gaps = written(index.posting_gaps(stored_index(spark, sf_dir).postings), "gaps")
-    held, decoded = written(index.blocks(gaps), "blocks"), written(index.decoded_blocks(index.encoded_blocks(gaps)), "decoded")
-    return index.selfcheck(gaps, stored_index(spark, sf_dir).lexicon, held, decoded)
+    """The invariants of the stored index, over all terms; a sound index has none violated."""
+    found = stored_index(spark, sf_dir)
+    return index.selfcheck(found.blocks, found.lexicon)
 
 
 @query(f"with {_GAPS}, b as (select sum((block_no = 0)::int)::bigint as n_terms, sum(n)::bigint as n_postings, count(*) as n_blocks, sum(docid_bytes)::bigint as docid_bytes, sum(freq_bytes)::bigint as freq_bytes from blocks) select (select count(*) from documents) as n_docs, b.*, (select sum(strlen(text))::bigint from documents) as text_bytes from b")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index_stats(_docs(spark, sf_dir), blocks(spark, sf_dir))
+    return index.index_stats(_docs(spark, sf_dir), index.blocks(stored_index(spark, sf_dir).blocks))
 
 
 @query(f"with {_FT} select term, ft from ft order by ft desc, term limit 50")
@@ -242,6 +242,11 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.top_terms(_postings(spark, sf_dir))
 
 
+@query(f"with {_FT} select term, ft from ft order by md5(term), term limit 50")
+def sampled_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.sampled_terms(_postings(spark, sf_dir))
+
+
 @query(f"with {_TF} select term, doc_id, tf from tf order by term, doc_id limit 50")
 def inspect_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.inspect_postings(_postings(spark, sf_dir))

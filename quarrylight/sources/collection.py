@@ -95,6 +95,6 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
-def write_json_lines(snippets: DataFrame, path: str) -> None:
-    """{"docID": n, "snippets": [..]} per line."""
-    snippets.write.mode("overwrite").json(path)
+def write_json_lines(snippet_json: DataFrame, path: str) -> None:
+    """The ``json`` column of ``snippets.snippet_json``, an object {"docID": n, "snippets": [..]} per line."""
+    snippet_json.select("json").write.mode("overwrite").text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import shutil
 import struct
 import threading
 import urllib.error
@@ -22,7 +23,7 @@ from quarrylight.functions import varbyte
 from quarrylight.functions.analysis import clean_term, terms, vb_len
 from quarrylight.functions.scoring import FALLBACK, K1, Statistics
 from quarrylight.operators import index, rank, snippets
-from quarrylight.operators.prefix import ranked_within, running_total
+from quarrylight.operators.prefix import running_total
 from quarrylight.plans.build import build_index, open_index
 from quarrylight.plans.search import SearchRequest, hits, search
 from quarrylight.sources import collection
@@ -121,16 +122,76 @@ def test_matching_and_term_stats(stored):
     assert rows(rank.query_term_stats(stored.lexicon, ["the", "zzz", "the"])) == [("the", 4), ("zzz", 0)]
 
 
-def test_selfcheck_finds_damage(docs):
-    post = index.postings(docs)
-    gaps, lex = index.posting_gaps(post, 2), index.lexicon(post, 2)
-    table, decoded = index.blocks(gaps), index.decoded_blocks(index.encoded_blocks(gaps))
-    assert rows(decoded.drop("block_no")) == rows(post)
-    assert {r["violations"] for r in index.selfcheck(post, lex, table, decoded).collect()} == {0}
-    broken = table.withColumn("last_doc", F.col("last_doc") - 1)
-    assert dict(rows(index.selfcheck(post, lex, broken, decoded)))["f_last_ids_match"] > 0
-    lost = decoded.where("term <> 'the'")
-    assert dict(rows(index.selfcheck(post, lex, table, lost)))["g_counts_match_ft"] == 1
+def in_parts(post, n):
+    return post.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
+def test_selfcheck_finds_damage(spark, docs, tmp_path):
+    index_ = build_index(spark, docs, str(tmp_path / "i"), 2)
+    found = lambda blocks, lex=index_.lexicon: {k for k, n in rows(index.selfcheck(blocks, lex)) if n}
+    held = index_.blocks
+    assert found(held) == set() and index.selfcheck(held, index_.lexicon).count() == 7
+    assert rows(index.decoded_blocks(held).select("term", "doc_id", "tf")) == rows(index.postings(docs))
+    assert found(held.withColumn("last_doc", F.col("last_doc") + 1)) == {"f_last_ids_match", "e_ids_rise_across_blocks"}
+    assert found(held.where("term <> 'the'")) == {"a_every_term_has_blocks", "c_block_numbers_in_range", "g_counts_match_ft"}
+    assert found(held.withColumn("docids", F.when(F.col("n") == 2, F.expr("substring(docids, 1, 1)")).otherwise(F.col("docids")))) >= {"b_slots_and_bytes_add_up", "f_last_ids_match", "g_counts_match_ft"}
+    assert "d_ids_rise_within_blocks" in found(held.withColumn("docids", F.when(F.col("n") == 2, F.unhex(F.lit("0500"))).otherwise(F.col("docids"))))
+    assert found(held, index_.lexicon.withColumn("end_slot", F.col("end_slot") + 1)) == {"b_slots_and_bytes_add_up"}
+    held.where("block_id > 0").write.parquet(str(tmp_path / "less"))
+    shutil.rmtree(tmp_path / "i" / "blocks")
+    (tmp_path / "less").rename(tmp_path / "i" / "blocks")
+    with pytest.raises(ValueError, match="blocks"):
+        open_index(spark, str(tmp_path / "i"))
+
+
+@pytest.mark.parametrize(("parts", "block", "stretch"), [(1, 128, 1 << 16), (7, 2, 1 << 16), (9, 3, 2), (40, 128, 1)])
+def test_blocks_of_terms_over_many_parts(spark, monkeypatch, parts, block, stretch):
+    """A hot term is cut by many parts, some hold nothing else; blocks, offsets and the lexicon are those of one stream."""
+    monkeypatch.setattr(index, "STRETCH", stretch)
+    data = [("hot", 3 * i, 1 + i % 200) for i in range(700)] + [("a", 7, 1), ("Z", 9, 2), ("z", 1, 300), ("z", 2**40, 1)] + [(f"t{i % 50}", i, 1) for i in range(200)]
+    post = spark.createDataFrame(data, "term string, doc_id bigint, tf bigint")
+    found = index.ordered_blocks(in_parts(post, parts), block).collect()
+    by_term = {}
+    for t, d, f in sorted(data):
+        by_term.setdefault(t, []).append((d, f))
+    want, at, slot, number = [], 0, 0, 0
+    for t in sorted(by_term):
+        for k in range(0, len(by_term[t]), block):
+            some = by_term[t][k : k + block]
+            gaps = np.diff([d for d, _ in some], prepend=0)
+            ids, freqs = (varbyte.encode(np.array(x))[0].tobytes() for x in (gaps, [f for _, f in some]))
+            want.append((t, k // block, len(some), some[0][0], some[-1][0], ids, freqs, number, at, slot))
+            at, slot, number = at + len(ids) + len(freqs), slot + len(some), number + 1
+    names = ["term", "block_no", "n", "first_doc", "last_doc", "docids", "freqs", "block_id", "byte_offset", "start_slot"]
+    assert sorted(tuple(bytes(r[c]) if c in ("docids", "freqs") else r[c] for c in names) for r in found) == sorted(want)
+    held = spark.createDataFrame(found)
+    assert rows(index.lexicon_of(held)) == rows(index.lexicon(post, block))
+    assert rows(index.decoded_blocks(held).select("term", "doc_id", "tf")) == rows(post)
+
+
+def test_blocks_of_nothing(spark):
+    empty = spark.createDataFrame([], "term string, doc_id bigint, tf bigint")
+    assert index.ordered_blocks(empty).count() == 0
+
+
+def test_repeated_documents(spark, tmp_path):
+    """Frequencies and lengths of a document given twice add up, and it counts once."""
+    twice = spark.createDataFrame([(1, "the boat the"), (1, "the sail of it"), (2, "boat"), (3, None)], "doc_id bigint, text string")
+    once = spark.createDataFrame([(1, "the boat the the sail of it"), (2, "boat"), (3, None)], "doc_id bigint, text string")
+    a, b = build_index(spark, twice, str(tmp_path / "a")), build_index(spark, once, str(tmp_path / "b"))
+    assert rows(a.postings) == rows(b.postings) and a.stats == b.stats and a.stats.n_docs == 3
+    assert rows(a.passages) == [(1, "the sail of it"), (2, "boat"), (3, None)]
+    assert got(rank.rank(a.postings, a.lexicon, ["the", "boat"], a.stats)) == got(rank.rank(b.postings, b.lexicon, ["the", "boat"], b.stats))
+
+
+def test_and_skips(stored, monkeypatch):
+    """AND with a rare term gives the same hits by ranges of its documents, which reach the scan."""
+    assert rank.skip_ranges([5, 1, 9, 100, 101], 2) == [(1, 9), (100, 101)] and rank.skip_ranges([4], 3) == [(4, 4)]
+    want = got(rank.rank(stored.postings, stored.lexicon, ["the", "café".encode("ascii", "ignore").decode()], stored.stats, rank.AND))
+    monkeypatch.setattr(rank, "SKIP_TIMES", 2)
+    df = rank.rank(stored.postings, stored.lexicon, ["the", "caf"], stored.stats, rank.AND)
+    assert got(df) == want == bm25(["the", "caf"], True)
+    assert "EqualTo(doc_id,2)" in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_lexicon_slots(docs):
@@ -153,23 +214,6 @@ def test_running_total(spark):
     assert running_total(df.limit(0), ["id"], before=F.col("v")).count() == 0
 
 
-def test_ranks_of_a_hot_key(spark):
-    """Two keys over many partitions: ranks and the rows before go on across the cuts."""
-    data = [("hot", 3 * i) for i in range(5000)] + [("a", 7), ("z", 1), ("z", 2)]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        found = ranked_within(spark.createDataFrame(data, "k string, v bigint").repartition(9), "k", "v").collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    want, last = {}, {}
-    for k, v in sorted(data):
-        n, before = last.get(k, (0, None))
-        want[k, v] = (n, before)
-        last[k] = (n + 1, v)
-    assert {(r["k"], r["v"]): (r["rank"], r["before"]) for r in found} == want
-    assert ranked_within(spark.createDataFrame([], "k string, v bigint"), "k", "v").count() == 0
-
-
 @given(st.lists(st.integers(0, 2**62)))
 def test_varbyte_round_trip(values):
     data, size = varbyte.encode(np.array(values, dtype=np.int64))
@@ -200,6 +244,40 @@ def test_snippets(spark):
     assert len([r for r in rows(snippets.snippets(docs, words, 4, 0)) if r[0] == 0]) == 1
 
 
+def test_highlight_joins_places(spark):
+    df = spark.createDataFrame([("x a-b-c, A-B don't a.b", "?"), (None, "?"), ("-- a-b", "?")], "t string, u string")
+    assert [r[0] for r in df.select(snippets.highlight(F.col("t"), ["a-b", "b-c"])).collect()] == ["x <b>a-b-c</b>, <b>A-B</b> don't a.b", None, "-- <b>a-b</b>"]
+    assert snippets.marked("--", ["-"]) == "<b>--</b>" and snippets.marked("a-b x", ["a", "-", "b"]) == "<b>a</b>-<b>b</b> x"
+    for text in ("The cat's the_cat THE x", "éthe the"):
+        words = ["the", "cat's"]
+        assert spark.createDataFrame([(text,)], "t string").select(snippets.highlight(F.col("t"), words)).first()[0] == snippets.marked(text, words)
+
+
+def test_json_lines(spark, tmp_path):
+    table = spark.createDataFrame([(1, 0, 'a "b"\n'), (1, 1, "c"), (2, 0, "ü")], "doc_id bigint, pos int, snippet string")
+    collection.write_json_lines(snippets.snippet_json(table), str(tmp_path / "out"))
+    lines = [json.loads(x) for f in (tmp_path / "out").glob("part-*") for x in f.read_text().splitlines()]
+    assert sorted(lines, key=lambda x: x["docID"]) == [{"docID": 1, "snippets": ['a "b"\n', "c"]}, {"docID": 2, "snippets": ["ü"]}]
+
+
+def test_command_line(spark, docs, tmp_path, capsys):
+    build_index(spark, docs, str(tmp_path / "i"))
+    api.main(["search", str(tmp_path / "i"), "the", "-k", "2", "-and", "-v", "of"])
+    out = capsys.readouterr().out
+    assert "df[the]=4" in out and "df[of]=3" in out and out.count("doc=") == 2 and f"score={bm25(['the', 'of'], True)[0][2]:.4f}" in out
+    api.main(["search", str(tmp_path / "i"), "The", "--raw", "-v"])
+    assert "The is not in the lexicon" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        api.main(["search", str(tmp_path / "i")])
+
+
+def test_batch_plan(spark, stored):
+    """The terms reach the scan, and each task keeps the best of a query before the shuffle by query."""
+    queries = spark.createDataFrame([(1, ["the", "boats"], 3, False)], "query_id bigint, terms array<string>, k int, conjunctive boolean")
+    plan = rank.rank_batch(stored.postings, stored.lexicon, queries, stored.stats)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and ("In(term, [boats,the])" in plan or "In(term, [the,boats])" in plan)
+
+
 def test_snippet_tokens_have_offsets(spark):
     text = "Größe: don't\tx_1 — Z"
     found = snippets.tokens(spark.createDataFrame([(1, text), (2, "")], "doc_id bigint, text string")).orderBy("tok_idx").collect()

@@ -13,4 +13,4 @@ def test_stream_equals_batch(spark, tmp_path):
         if more is not None:
             more.write.mode("append").parquet(str(tmp_path / "in"))
         append_postings(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
-    assert rows(merged_postings(spark, str(tmp_path / "out"))) == rows(index.postings(docs))
+    assert rows(merged_postings(spark, str(tmp_path / "out"))) == rows(index.sized_postings(docs))
