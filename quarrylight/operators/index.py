@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,10 +99,27 @@ def _chunks(block: int):  # noqa: ANN202
         held_term, held_docs, held_freqs, seq, last = None, none, none, 0, None
 
         done = np.zeros(3, dtype=np.int64)  # blocks, bytes and postings that the part has so far
-        done_part = part
-
-        def packed(term: pa.Array, parts: np.ndarray, numbers: np.ndarray, docs: np.ndarray, freqs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-            nonlocal done, done_part
+        done_part, seen = part, None
+
+        def summary() -> pa.RecordBatch:
+            """A row without a term that tells of a whole part: its ends, and what it has in all and of the terms at its ends."""
+            told = json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in seen.items()}).encode()
+            empty = [pa.nulls(1, t) for t in (pa.string(), *[pa.int64()] * 4)]
+            return pa.RecordBatch.from_arrays([pa.array([done_part]), *empty, pa.array([told]), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 3], names=_CHUNK_NAMES)
+
+        def look(term: pa.Array, docs: np.ndarray, each: np.ndarray) -> None:
+            nonlocal seen
+            first, last = term[0].as_py(), term[len(term) - 1].as_py()
+            if seen is None:
+                seen = {"first": first, "doc": int(docs[0]), "head": np.zeros(3, dtype=np.int64), "tail": np.zeros(3, dtype=np.int64), "all": np.zeros(3, dtype=np.int64), "last": last}
+            if seen["last"] != last:
+                seen["last"], seen["tail"] = last, np.zeros(3, dtype=np.int64)
+            for name, of in (("head", seen["first"]), ("tail", last)):
+                seen[name] = seen[name] + each[:, pc.equal(term, of).to_numpy(zero_copy_only=False)].sum(axis=1)
+            seen["all"] = seen["all"] + each.sum(axis=1)
+
+        def packed(term: pa.Array, parts: np.ndarray, numbers: np.ndarray, docs: np.ndarray, freqs: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal done, done_part, seen
             ends = np.append(starts[1:], len(docs))
             gaps = np.diff(docs, prepend=0)
             gaps[starts] = docs[starts]
@@ -114,9 +132,15 @@ def _chunks(block: int):  # noqa: ANN202
             if parts[0] == done_part:
                 base[:, : begin[1] if len(begin) > 1 else len(parts)] += done[:, None]
             before = before + base
-            done, done_part = before[:, -1] + each[:, -1], parts[-1]
+            for lo, hi in zip(begin, np.append(begin[1:], len(parts)), strict=True):
+                if parts[lo] != done_part:
+                    if seen is not None:
+                        yield summary()
+                    done_part, seen = int(parts[lo]), None
+                look(term[lo:hi], docs[starts[lo:hi]], each[:, lo:hi])
+            done = before[:, -1] + each[:, -1]
             cols = [pa.array(parts), term, pa.array(numbers), pa.array(ends - starts), pa.array(docs[starts]), pa.array(docs[ends - 1]), ids, tfs, *map(pa.array, before)]
-            return pa.RecordBatch.from_arrays(cols, names=_CHUNK_NAMES)
+            yield pa.RecordBatch.from_arrays(cols, names=_CHUNK_NAMES)
 
         for batch in batches:
             if not batch.num_rows:
@@ -142,12 +166,14 @@ def _chunks(block: int):  # noqa: ANN202
             out = at if full else at[:-1]
             if len(out):
                 upto = n if full else at[-1]
-                yield packed(names.take(pa.array(out)), parts[out], first_seq[out] + place[out] // block, docs[:upto], freqs[:upto], out)
+                yield from packed(names.take(pa.array(out)), parts[out], first_seq[out] + place[out] // block, docs[:upto], freqs[:upto], out)
             rest = n if full else at[-1]
             held_term, held_docs, held_freqs, last, part = names[n - 1].as_py(), docs[rest:], freqs[rest:], docs[-1], int(parts[-1])
             seq = int(first_seq[-1] + place[-1] // block) + int(full)
         if len(held_docs):
-            yield packed(pa.array([held_term]), np.array([part]), np.array([seq]), held_docs, held_freqs, np.zeros(1, dtype=np.int64))
+            yield from packed(pa.array([held_term]), np.array([part]), np.array([seq]), held_docs, held_freqs, np.zeros(1, dtype=np.int64))
+        if seen is not None:
+            yield summary()
 
     return work
 
@@ -161,24 +187,28 @@ def ordered_blocks(post: DataFrame, block: int = BLOCK) -> DataFrame:
     leave it; it is encoded in one pass without a shuffle. Terms that lie in several parts, under two for each, are cut into
     blocks again; what is before each part is known from a few rows per part.
     """
-    chunks = written(post.select("term", "doc_id", _long("tf").alias("tf")).mapInArrow(_chunks(block), _CHUNK), "chunks")
     spark = post.sparkSession
-    ends = chunks.groupBy("part").agg(F.min(F.struct("term", "first_doc")).alias("first"), F.max("term").alias("last"))
-    parts = sorted(((r["first"]["term"].encode(), r["first"]["first_doc"], r["last"], r["part"]) for r in ends.collect()), key=lambda p: p[:2])  # a row per part
-    cut = sorted({b[0] for a, b in zip(parts, parts[1:], strict=False) if a[2].encode() == b[0]})
+    stored = written(post.select("term", "doc_id", _long("tf").alias("tf")).mapInArrow(_chunks(block), _CHUNK), "chunks")
+    chunks = stored.where("term is not null")
+    told = [json.loads(r["docids"]) | {"part": r["part"]} for r in stored.where("term is null").select("part", "docids").collect()]  # a row per part
+    parts = sorted(told, key=lambda p: (p["first"].encode(), p["doc"]))
+    cut = sorted({b["first"].encode() for a, b in zip(parts, parts[1:], strict=False) if a["last"] == b["first"]})
     names = F.broadcast(spark.createDataFrame([(t.decode(),) for t in cut], "term string"))
-    rest = chunks.join(names, "term", "left_anti")
+    rest = chunks.join(names, "term", "left_anti") if cut else chunks
     # of a part only the first and the last term can be cut, so what is left of it lies in a row
-    sums = [F.min("id_").alias("id"), F.min("bytes_").alias("bytes"), F.min("slots_").alias("slots"), F.count("*").alias("blocks"), F.sum(F.octet_length("docids") + F.octet_length("freqs")).alias("size"), F.sum("n").alias("n"), F.min("term").alias("first")]
-    segments = [(r["first"].encode(), 0, r.asDict()) for r in rest.groupBy("part").agg(*sums).collect()]  # a row per part
+    segments, before, starts = [], dict.fromkeys(cut, 0), []
+    for p in parts:
+        ends = {p["first"].encode(): np.array(p["head"]), p["last"].encode(): np.array(p["tail"])}
+        own = {t: v for t, v in ends.items() if t in before}
+        left = np.array(p["all"]) - sum(own.values(), np.zeros(3, dtype=np.int64))
+        skipped = own.get(p["first"].encode(), np.zeros(3, dtype=np.int64))
+        if left[0]:
+            segments.append(((p["first"].encode(), p["doc"], 1), p["part"], skipped, left))
+        for t, v in own.items():
+            starts.append((p["part"], t.decode(), before[t]))
+            before[t] += int(v[2])
     again = None
     if cut:
-        held = {(r["part"], r["term"].encode()): r["n"] for r in chunks.join(names, "term").groupBy("part", "term").agg(F.sum("n").alias("n")).collect()}
-        before, starts = dict.fromkeys(cut, 0), []
-        for first, _, last, part in parts:
-            for t in {first, last.encode()} & before.keys():
-                starts.append((part, t.decode(), before[t]))
-                before[t] += held[part, t]
         begin = F.broadcast(spark.createDataFrame(starts, "part bigint, term string, before bigint"))
         moved = chunks.join(begin, ["part", "term"]).select("term", (F.col("before") + F.col("seq") * block).alias("block_no"), "docids", "freqs")
         placed = moved.mapInArrow(_decoded, _DECODED).withColumn("rank", F.col("block_no") + F.col("place"))
@@ -187,14 +217,15 @@ def ordered_blocks(post: DataFrame, block: int = BLOCK) -> DataFrame:
         again = written(placed.groupBy("term", number.alias("block_no")).agg(entries).mapInArrow(_payloads, _PAYLOAD).withColumn("stretch", F.floor(F.col("block_no") / STRETCH).cast("bigint")), "cut-blocks")
         size = F.octet_length("docids") + F.octet_length("freqs")
         totals = again.groupBy("term", "stretch").agg(F.count("*").alias("blocks"), F.sum(size).alias("size"), F.sum("n").alias("n"))
-        segments += [(r["term"].encode(), r["stretch"] + 1, r.asDict()) for r in totals.collect()]  # a row per STRETCH blocks
-    at, of_part, of_stretch = [0, 0, 0], [], []
-    for _, _, r in sorted(segments, key=lambda x: x[:2]):
-        if "part" in r:
-            of_part.append((r["part"], at[0] - r["id"], at[1] - r["bytes"], at[2] - r["slots"]))
+        # before the part that begins with other terms, and after the one that ends with this
+        segments += [((r["term"].encode(), -1, r["stretch"]), r["term"], None, np.array([r["blocks"], r["size"], r["n"]])) for r in totals.collect()]  # a row per STRETCH blocks
+    at, of_part, of_stretch = np.zeros(3, dtype=np.int64), [], []
+    for (_, _, stretch), what, skipped, size in sorted(segments, key=lambda x: x[0]):
+        if skipped is not None:
+            of_part.append((what, *map(int, at - skipped)))
         else:
-            of_stretch.append((r["term"], r["stretch"], *at))
-        at = [at[0] + r["blocks"], at[1] + r["size"], at[2] + r["n"]]
+            of_stretch.append((what, stretch, *map(int, at)))
+        at = at + size
     places = "id0 bigint, bytes0 bigint, slots0 bigint"
     whole = rest.join(F.broadcast(spark.createDataFrame(of_part, f"part bigint, {places}")), "part")
     columns = ["term", "block_no", "n", "first_doc", "last_doc", "docids", "freqs"]

@@ -43,8 +43,8 @@ def build_index(spark: SparkSession, docs: DataFrame, path: str, block: int = in
     passage is the one that is greatest in byte order. A null text has no terms.
     """
     docs = spread(docs.select("doc_id", "text"))
-    repeated = written(index.repeated_lengths(docs), "repeated")
-    again = not repeated.isEmpty()
+    again = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    repeated = written(index.repeated_lengths(docs), "repeated") if again else None
 
     def passages() -> None:
         rows = docs
@@ -58,16 +58,18 @@ def build_index(spark: SparkSession, docs: DataFrame, path: str, block: int = in
         if again:
             counted = counted.join(repeated, "doc_id", "left").withColumn("dl", F.coalesce("dl_", "dl")).select("term", "doc_id", "tf", "dl")
         counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
+        stored = spark.read.schema(counted.schema).parquet(f"{path}/postings")
         placed = index.ordered_blocks(stored, block)
-        with ThreadPoolExecutor(2) as pool:
+        total: list[int] = []
+        with ThreadPoolExecutor(3) as pool:
             done = [
                 pool.submit(placed.write.mode("overwrite").parquet, f"{path}/blocks"),
+                pool.submit(lambda: total.append(stored.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0])),
                 pool.submit(lambda: index.lexicon_of(placed).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")),
             ]
             for d in done:
                 d.result()
-        return stored.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        return total[0]
 
     with ThreadPoolExecutor(2) as pool:  # the two halves share no stage, and neither fills all cores all the time
         texts, counts = pool.submit(passages), pool.submit(postings)
@@ -83,8 +85,10 @@ def build_index(spark: SparkSession, docs: DataFrame, path: str, block: int = in
 def open_index(spark: SparkSession, path: str) -> Index:
     """Opens a stored index; a missing part or column is an error, and so are more or fewer blocks than were written."""
     parts = {}
+    with ThreadPoolExecutor(len(_PARTS)) as pool:  # each reads the footers of its files
+        opened = dict(zip(_PARTS, pool.map(lambda name: spark.read.parquet(f"{path}/{name}"), _PARTS), strict=True))
     for name, columns in _PARTS.items():
-        parts[name] = spark.read.parquet(f"{path}/{name}")
+        parts[name] = opened[name]
         if missing := [c for c in columns if c not in parts[name].columns]:
             raise ValueError(f"{name} of the index at {path} lacks {missing}")
     row = parts["stats"].first()
