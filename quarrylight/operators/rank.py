@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scoring import K1, B, Statistics, contribution
+from quarrylight.storage import written
 
 OR, AND = "or", "and"
 #: Rows of query terms up to which they are broadcast, and the parts of a hot term beyond it.
@@ -99,12 +100,13 @@ def rank_batch(post: DataFrame, lexicon: DataFrame, queries: DataFrame, stats: S
     asked = queries.where("k > 0 and size(terms) > 0").select("query_id", F.coalesce("conjunctive", F.lit(False)).alias("conjunctive"), "k", F.explode("terms").alias("term"))
     bag = asked.groupBy("query_id", "conjunctive", "k", "term").agg(F.count("*").alias("times"))
     asked_for = queries.select("query_id", F.size(F.array_distinct("terms")).alias("distinct_terms"))
-    known = bag.join(lexicon.select("term", "ft"), "term")
+    known = written(bag.join(lexicon.select("term", "ft"), "term"), "asked")
+    asked_rows, most = known.agg(F.count("*"), F.coalesce(F.max("k"), F.lit(0))).first()
     rows = post.select("term", "doc_id", "tf", *([stats.length] if stats.length else []))
     listed = [r["term"] for r in known.select("term").distinct().limit(MOST_LISTED + 1).collect()]
     if len(listed) <= MOST_LISTED:  # the scan then reads the row groups of these terms only
         rows = rows.where(F.col("term").isin(listed))
-    if known.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+    if asked_rows <= MOST_ASKED:
         hits = rows.join(F.broadcast(known), "term")
     else:  # a term with a thousandth of all postings is hot; under a thousand are, and their query rows are repeated by salt
         hot = lexicon.where(F.col("ft") * 1000 > post.count()).select("term")
@@ -116,9 +118,8 @@ def rank_batch(post: DataFrame, lexicon: DataFrame, queries: DataFrame, stats: S
     part = contribution(F.col("tf"), F.col("ft"), stats, k1, b) * F.col("times")
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("k").alias("k"), F.first("conjunctive").alias("conjunctive"))
     kept = scored.join(asked_for, "query_id").where(~F.col("conjunctive") | (F.col("matched") == F.col("distinct_terms")))
-    most = queries.agg(F.max("k")).first()[0] or 0
     order = Window.partitionBy("query_id").orderBy(F.desc("r6"), "doc_id")
     # with the greatest k as a literal, each task keeps that many of a query before anything is shuffled by query
-    best = kept.withColumn("r6", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(most, 0))
+    best = kept.withColumn("r6", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     ranked = best.where(F.col("rank") <= F.col("k"))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
