@@ -71,7 +71,7 @@ def test_encoding_edges(spark):
     assert encoding.repair_encoding(df.limit(0)).count() == 0
 
 
-#: Text of languages, scripts and signs that no part of the operator was made from.
+#: Text of languages, scripts and signs, looked at while the operators were made; for others see ``test_held_out``.
 OTHERS = {
     'japanese': '昨日は友達と一緒に、駅前の小さな喫茶店でコーヒーを飲みながら、来年の旅行について話しました。',
     'chinese': '我们昨天在图书馆里读了一本关于古代历史的书，觉得非常有意思。',

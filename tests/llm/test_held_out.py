@@ -1,0 +1,77 @@
+"""Texts that were written after the operators were finished, and used for nothing but this."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+
+import pytest
+
+from quarrylight.llm import encoding, prose
+from tests.llm.test_encoding import REPAIR, misread
+
+HELD = {
+    "german": "Gestern gingen wir über die Brücke, weil das Wetter schön war; die Kinder aßen süße Äpfel und hörten Geschichten.",
+    "french": "Où étiez-vous hier, à l’heure du dîner ? Nous avons mangé près du château, où l’on sert des pâtes à la crème.",
+    "spanish": "El niño pequeño encontró una araña en el jardín; después llamó a su mamá, que llegó rápidamente.",
+    "italian": "La città è più bella quando il caffè è già aperto e la gente va al lavoro con un po' di felicità.",
+    "dutch": "Mijn zus heeft twee poëziebundels geërfd van onze oma, die vroeger aan de kade een boekwinkel had.",
+    "finnish": "Pöydällä on kolme lämmintä leipää, jotka äiti leipoi aamulla ennen kuin lähdimme töihin.",
+    "norwegian": "Etter måltidet gikk vi ut på brygga for å se på båtene, og så ble det plutselig mørkt og kjølig.",
+    "estonian": "Õues sadas lund, aga lapsed mängisid ikka hoovis ja ehitasid suure lumememme, millel oli müts peas.",
+    "slovene": "Včeraj smo obiskali staro šolo, kjer je učiteljica otrokom prebrala zgodbo o žabi in čudežnem vrču.",
+    "turkish": "Annem her sabah erkenden kalkar, çayı demler ve bahçedeki güllere su verir; sonra işe gider.",
+    "azerbaijani": "Dünən axşam bağda oturub çay içdik, uşaqlar isə həyətdə top oynayırdılar və çox şən idilər.",
+    "albanian": "Dje në mëngjes shkuam në treg për të blerë fruta të freskëta, por çmimet ishin shumë të larta.",
+    "maltese": "Ilbieraħ morna ħdejn il-baħar u qgħadna nħarsu lejn id-dgħajjes sakemm niżlet ix-xemx.",
+    "basque": "Atzo arratsaldean mendira igo ginen, eta handik itsaso osoa ikusten zen, oso garbi eta urdin.",
+    "swahili": "Jana jioni tulikwenda sokoni kununua matunda, lakini mvua kubwa ilinyesha na tukarudi nyumbani mapema.",
+    "indonesian": "Kemarin sore kami pergi ke pasar untuk membeli buah, tetapi hujan turun deras dan kami pulang lebih awal.",
+    "belarusian": "Учора мы хадзілі ў лес па грыбы, але дождж пайшоў раней, чым мы паспелі нешта знайсці.",
+    "macedonian": "Вчера одевме на пазар да купиме свежо овошје, но цените беа многу високи за ова време.",
+    "kazakh": "Кеше біз базарға барып, жаңа піскен алма сатып алдық, бірақ бағасы өте қымбат болды.",
+    "greek": "Χθες το βράδυ περπατήσαμε δίπλα στη θάλασσα, και τα παιδιά μάζεψαν μικρά κοχύλια από την άμμο.",
+    "japanese": "今朝は早く起きて庭の花に水をやり、それから母と一緒に市場へ買い物に行きました。",
+    "chinese": "今天早上我很早就起床了，先给花园里的花浇水，然后和妈妈一起去市场买菜。",
+    "korean": "오늘 아침 일찍 일어나서 정원의 꽃에 물을 주고, 어머니와 함께 시장에 갔습니다.",
+    "arabic": "استيقظت هذا الصباح باكرا، وسقيت الزهور في الحديقة، ثم ذهبت مع أمي إلى السوق.",
+    "bengali": "আজ সকালে আমি তাড়াতাড়ি উঠে বাগানের ফুলে জল দিয়েছি, তারপর মায়ের সঙ্গে বাজারে গিয়েছি।",
+    "tamil": "இன்று காலை நான் சீக்கிரம் எழுந்து தோட்டத்தில் உள்ள பூக்களுக்குத் தண்ணீர் ஊற்றினேன்.",
+}
+SIGNS = {
+    "prices": "The ticket is €12.50, or £11 — about ¥1,900 — and children pay ½ price; see § 3 and footnote ¹.",
+    "arrows": "Go to Settings → Privacy ⇒ Cookies, then tick ☑ and press ⏎; rated ★★★☆☆ by 40 users ♥.",
+    "chemistry": "Mix H₂O and CO₂ at 25 °C ± 0.5 °C; the β-carotene and α-helix samples need 3 µL at λ = 450 nm.",
+    "names": "Dvořák, Erdős, Çelik, Nuñez, Bjørn, Zoë, Siân, Łukasz and Renée met at Café Müller in São Paulo.",
+}
+BOTH = HELD | SIGNS
+
+
+@pytest.mark.parametrize("name", sorted(BOTH))
+def test_clean(name):
+    assert REPAIR(BOTH[name]) == (False, BOTH[name], 0)
+
+
+def test_misread():
+    utf8 = [(REPAIR(misread(t, r)), t) for t in BOTH.values() if not t.isascii() for r in encoding.READ_AS]
+    assert len(utf8) == 216 and all(g and restored == t for (g, restored, _), t in utf8)
+    single = []
+    for t in BOTH.values():
+        for written_in in encoding.WRITTEN_IN[1:]:
+            for read_as in encoding.READ_AS:
+                try:
+                    other = "".join(encoding._TABLES[read_as][b] for b in t.encode(written_in))
+                except UnicodeEncodeError:
+                    continue
+                if other != t and read_as != written_in:
+                    single.append((REPAIR(other), t))
+    found, exact = sum(g for (g, _, _), _ in single), sum(restored == t for (_, restored, _), t in single)
+    assert (len(single), found, exact) == (111, 95, 75)
+
+
+def test_prose(spark, small):
+    common = defaultdict(set)
+    for r in spark.read.parquet(f"{small}/common_words.parquet").where("lang is not null and word is not null").collect():
+        common[r["lang"]].add(r["word"].lower())
+    kinds = prose.Tokens(dict(common))
+    found = prose.statistics(list(HELD.values()), kinds, prose.Profiles(kinds.languages))
+    assert found["is_prose"].tolist() == [True] * len(HELD)

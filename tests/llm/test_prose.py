@@ -1,4 +1,4 @@
-"""Prose and what is none: labels that the fit left out, and languages that no table has."""
+"""Prose and what is none: labels that the fit left out, and languages that no table has (seen while the rules were set)."""
 
 from __future__ import annotations
 
