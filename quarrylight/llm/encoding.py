@@ -231,7 +231,8 @@ class Repairer:
             return False
         at = m.start(m.lastindex)
         gain = self._gain(token, f"{token[:at]}{'\'""'[m.lastindex - 1]}{token[at + 1 :]}")
-        return gain > 0 or gain == 0 and m[0].startswith("n") and m[0].endswith("t")  # as in don't
+        # a common word with its ending, as in don't or the keeper's, may need no token less
+        return gain > 0 or gain == 0 and m.lastindex == 1 and token[:1].islower()
 
     def _stumps(self, text: str) -> float:
         if not _MAY_STUMP.search(text) or len(_ENGLISH.findall(text)) < 2:
